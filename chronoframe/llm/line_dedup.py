@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoframe.llm.kernel import Flat, binary_list, combine, mix, slices
-from chronoframe.llm.storage import delete, new_path, partitions, written
+from chronoframe.llm.storage import delete, new_path, partitions, small_batches, written
 
 MIN_POINTS = 10
 #: Batches that ``dedup`` deals a whole table into, and runs of a level that are merged.
@@ -172,6 +172,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     Input columns named n_lines or n_dropped are replaced; all other columns stay.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shares = F.array(*(F.lit(k / batches) for k in range(1, batches))) if batches > 1 else None
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 200)).first()[0] if batches > 1 else None
     bounds = sorted(set(cuts or ()))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.kernel import binary_list, slices
-from chronoframe.llm.storage import partitions, written
+from chronoframe.llm.storage import partitions, small_batches, written
 from chronoframe.llm.unit_codes import WordCodes, encoder
 
 CAPACITY = 2048
@@ -213,4 +213,5 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Cuts, encodes and packs all documents."""
+    small_batches(docs.sparkSession)
     return pack(written(pieces(docs, path, capacity), "pieces"), capacity)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.kernel import Flat, binary_list, combine, mix, per_doc, slices
+from chronoframe.llm.storage import small_batches
 from chronoframe.llm.textmap import add_columns, keep_rows
 
 BUCKETS = 1 << 16
@@ -50,6 +51,7 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     Each task sends one row for each bucket it has seen, so the shuffle doesn't depend on how often an
     n-gram occurs; the driver gets BUCKETS rows.
     """
+    small_batches(docs.sparkSession)
     ids = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_t")).distinct()
     marked = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_t"), "left")
     marked = marked.select("text", F.col("_t").isNotNull().alias("_t"))

@@ -42,8 +42,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = token_files.encode(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
-    return token_files.read(token_files.write(encoded))
+    return token_files.read(token_files.write(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json")))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.kernel import binary_list, slices
-from chronoframe.llm.storage import fold
+from chronoframe.llm.storage import fold, small_batches
 
 
 def training_ids(labels: DataFrame, target: str, limit: int, folds: int | None = 3, held: int = 1) -> DataFrame:
@@ -31,6 +31,7 @@ def fitted(docs: DataFrame, ids: DataFrame, features: Callable, train: Callable,
     ``ids`` is bounded by its limit, so it's broadcast and the texts aren't shuffled.  rows: (doc_id, y,
     buckets) in ascending doc_id order, so that the result doesn't depend on the layout of the input.
     """
+    small_batches(docs.sparkSession)
     some = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

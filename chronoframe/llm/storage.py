@@ -61,3 +61,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold(doc_id, k: int):
     """crc32 of the id as text, modulo k."""
     return F.crc32(doc_id.cast("string").cast("binary")) % k
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of text that a Python worker is sent at a time, as texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from chronoframe.llm.kernel import binary_list, slices
+from chronoframe.llm.storage import small_batches
 
 Texts = list[bytes]
 
@@ -20,6 +21,7 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[Texts], dict]], fiel
     ``make`` is called once in each task and returns the function from texts to columns.  A computed
     column takes the place of an input column of the same name.  ``drop`` names columns that don't go on.
     """
+    small_batches(df.sparkSession)
     new = T._parse_datatype_string(fields)
     names = {f.name.lower() for f in new.fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names and f.name not in drop]
@@ -42,6 +44,7 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[Texts], dict]], fiel
 
 def keep_rows(df: DataFrame, make: Callable[[], Callable[[Texts], object]], text: str = "text") -> DataFrame:
     """The rows whose texts the function marks True, with all their columns."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()

@@ -134,14 +134,16 @@ def encode(docs: DataFrame, path: str, end_id: int | None = END_ID, narrow: bool
 SHARDS = "part int, seq int, first_in_part long, n_ids long, doc_ids array<long>, shard binary"
 
 
-def write(encoded: DataFrame, path: str | None = None, bits: bool = False, n: int | None = None) -> DataFrame:
-    """Writes the shards in ascending doc_id order and returns their table.
+def write(docs: DataFrame, codes: str, path: str | None = None, bits: bool = False, n: int | None = None, end_id: int | None = END_ID) -> DataFrame:
+    """Encodes the documents, writes their ids as shards in ascending doc_id order, and returns the shards' table.
 
-    The ids are dealt into ranges of doc_id and sorted within; null ids come first, and rows of equal ids
-    stand in the order of their bytes.  A task holds one shard at a time.
+    The texts are dealt into ranges of doc_id and sorted within before they are encoded, so the bounds of
+    the ranges are found from the ids alone.  Null ids come first, and rows of equal ids stand in the
+    order of their texts.  A task holds one shard at a time.
     """
-    n = n or partitions(encoded.sparkSession)
-    dealt = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    n = n or partitions(docs.sparkSession)
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = encode(ordered, codes, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, first, ids, lengths, names, total = TaskContext.get().partitionId(), 0, 0, [], [], [], 0

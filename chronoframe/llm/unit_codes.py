@@ -15,7 +15,7 @@ import numpy as np
 
 from chronoframe.llm.kernel import Flat, ragged
 
-CACHED_UNITS = 1_500_000
+CACHED_UNITS, CACHED_PIECES = 800_000, 300_000
 #: White space outside ASCII, in UTF-8: fixed values of the Unicode property White_Space.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Texts whose splitting into pieces is done here; others go to the library whole.
@@ -68,6 +68,8 @@ class UnitCodes:
 
     def _encode_units(self, units: list[bytes]) -> list:
         out: list = [None] * len(units)
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
         pieces, split, known = self.pieces, self.split.findall, PLAIN.fullmatch
         for i, unit in enumerate(units):
             text = unit.decode("utf-8", "replace")

@@ -122,7 +122,7 @@ def test_shards(docs, rows, empty, bits, tmp_path, monkeypatch):
         token_files.Shard(b"nothing of the kind, but long enough to be read as one shard")
     monkeypatch.setattr(token_files, "SHARD_IDS", 500)
     path = P.path("byte_bpe_50k.json")
-    shards = token_files.write(token_files.encode(docs, path), bits=bits, n=3)
+    shards = token_files.write(docs, path, bits=bits, n=3)
     tokenizer = ByteCodes(path)
     at = 0
     want = []
@@ -132,7 +132,7 @@ def test_shards(docs, rows, empty, bits, tmp_path, monkeypatch):
         at += len(x)
     assert sorted(map(tuple, token_files.read(shards).collect())) == want
     assert shards.count() == token_files.export(shards, str(tmp_path)).count() == len(list(tmp_path.iterdir()))
-    assert token_files.read(token_files.write(token_files.encode(empty, path))).count() == 0
+    assert token_files.read(token_files.write(empty, path)).count() == 0
 
 
 def test_packing(docs, rows, empty):
