@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, line_dedup, packing, quality_ftrl, quality_rules, token_files, toxicity
+from chronoframe.llm import bpe, line_dedup, minmax_dedup, packing, quality_ftrl, quality_rules, token_files, toxicity
 from chronoframe.llm.storage import documents
 
 
@@ -25,6 +25,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(documents(spark, sf_dir), k=3, num=85, den=100)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_ftrl.score(docs, quality_ftrl.fit(docs, labels)).select("doc_id", "held_out", "score", "predicted")
@@ -51,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op3_pack, op5_quality, op6_bpe, op7_toxicity, op9_token_files, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_pack, op4_near_duplicates, op5_quality, op6_bpe, op7_toxicity, op9_token_files, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
