@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, line_dedup, minmax_dedup, packing, quality_ftrl, quality_rules, token_files, toxicity
+from chronoframe.llm import bpe, line_dedup, minmax_dedup, packing, quality_ftrl, quality_rules, token_files, toxicity, vptree
 from chronoframe.llm.storage import documents
 
 
@@ -45,6 +45,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json")))
 
@@ -55,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op3_pack, op4_near_duplicates, op5_quality, op6_bpe, op7_toxicity, op9_token_files, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_pack, op4_near_duplicates, op5_quality, op6_bpe, op7_toxicity, op8_nearest, op9_token_files, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

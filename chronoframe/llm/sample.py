@@ -54,7 +54,7 @@ def fitted(docs: DataFrame, ids: DataFrame, features: Callable, train: Callable,
         w = train(rows) if rows else np.zeros(size)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary())], names=["w"])
 
-    got = some.mapInArrow(encode, "doc_id long, y int, f binary").coalesce(1).mapInArrow(learn, "w binary").collect()
+    got = some.mapInArrow(encode, "doc_id long, y int, f binary").repartition(1).mapInArrow(learn, "w binary").collect()
     return np.frombuffer(got[0]["w"], "<f8") if got else np.zeros(size)
 
 
