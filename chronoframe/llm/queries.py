@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, line_dedup, minmax_dedup, packing, quality_ftrl, quality_rules, token_files, toxicity, vptree
+from chronoframe.llm import bpe, line_dedup, lm_score, minmax_dedup, packing, quality_ftrl, quality_rules, token_files, toxicity, vptree
 from chronoframe.llm.storage import documents
 
 
@@ -21,6 +21,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
@@ -59,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op3_pack, op4_near_duplicates, op5_quality, op6_bpe, op7_toxicity, op8_nearest, op9_token_files, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_lm_score, op3_pack, op4_near_duplicates, op5_quality, op6_bpe, op7_toxicity, op8_nearest, op9_token_files, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
