@@ -9,7 +9,7 @@ from chronoframe.llm import bpe, line_dedup, lm_score, minmax_dedup, packing, qu
 from chronoframe.llm.storage import documents
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -26,7 +26,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+    return packing.packed(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.digests(documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read(token_files.write(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json")))
+    return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
