@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_digest
 
-from chronoframe.llm.kernel import Flat, binary_list, combine, mix, slices
+from chronoframe.llm.kernel import Flat, binary_list, combine, mix, ragged, slices
 from chronoframe.llm.storage import delete, new_path, partitions, small_batches, written
 
 MIN_POINTS = 10
@@ -35,23 +36,30 @@ LAST = (1 << 63) - 1
 KEY = ["h1", "h2"]
 
 
-def lines_of(texts: list[bytes]) -> tuple[Flat, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The lines of all texts: begin, end, text, whether the key counts, and the key's two hashes."""
+def lines_of(texts: list[bytes]) -> tuple[Flat, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of all texts: their text, whether the key counts, and the key's two hashes (128 bits of XXH3)."""
     flat = Flat(texts, lower=True)
-    stop = np.flatnonzero(flat.bytes[:-8] == 10)
-    start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
-    docs = flat.docs(start)
-    a, b = flat.words()
-    lo, hi = np.searchsorted(a, start), np.searchsorted(a, stop)
-    some = hi > lo
-    begin, end = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-    begin[some], end[some] = a[lo[some]], b[hi[some] - 1]
-    counts = some.copy()
-    counts[some] = flat.points(begin[some], end[some]) >= MIN_POINTS
-    h = np.zeros((2, len(start)), np.uint64)
-    for k in range(2):
-        h[k, counts] = flat.hashes(begin[counts], end[counts], seed=11 + k)
-    return start, stop, docs, counts, h[0], h[1]
+    raw = flat.bytes
+    end = np.flatnonzero(raw[:-8] == 10)
+    begin = np.concatenate([[0], end[:-1] + 1]) if len(end) else end.copy()
+    docs = flat.docs(begin)
+    for at, step in ((begin, 1), (end, -1)):  # strip white space, byte by byte where there is some
+        live = np.arange(len(begin))
+        while len(live):
+            c = raw[at[live] - (step < 0)]
+            live = live[(begin[live] < end[live]) & (((c - np.uint8(9)) < 5) | (c == 32))]
+            at[live] += step
+    size = end - begin
+    counts = size >= MIN_POINTS
+    short = np.flatnonzero(counts & (size < 4 * MIN_POINTS))  # longer ones have enough code points in any case
+    if len(short):
+        lead = (raw[ragged(begin[short], size[short])] & 0xC0) != 0x80
+        counts[short] = np.add.reduceat(lead.astype(np.int64), np.cumsum(size[short]) - size[short]) >= MIN_POINTS
+    h = np.zeros((2, len(begin)), np.uint64)
+    data = flat.raw
+    digests_ = b"".join([xxh3_128_digest(data[a:b]) for a, b in zip(begin[counts].tolist(), end[counts].tolist(), strict=True)])
+    h[:, counts] = np.frombuffer(digests_, "<u8").reshape(-1, 2).T
+    return flat, docs, counts, h[0], h[1]
 
 
 class Runs:
@@ -136,7 +144,7 @@ def digests(docs: DataFrame, bounds: list[int]) -> DataFrame:
             texts = binary_list(batch.column("text"))
             ids = np.array(batch.column("doc").to_pylist(), np.int64)
             for a, b in slices(texts):
-                _, _, d, counts, h1, h2 = lines_of(texts[a:b])
+                _, d, counts, h1, h2 = lines_of(texts[a:b])
                 doc = ids[a:b][d[counts]]
                 held.append((np.searchsorted(edges, doc), h1[counts], h2[counts], doc, np.zeros(len(doc), bool)))
                 rows += len(doc)
@@ -199,7 +207,7 @@ def without(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
             texts, gone = binary_list(batch.column("text")), batch.column("_drop").to_pylist()
             for a, b in slices(texts):
                 part = texts[a:b]
-                start, stop, d, counts, h1, _ = lines_of(part)
+                _, d, counts, h1, _ = lines_of(part)
                 sizes = np.array([len(x or ()) for x in gone[a:b]], np.int64)
                 flagged = np.array([y for x in gone[a:b] for y in x or ()], np.int64).view(np.uint64)
                 with np.errstate(over="ignore"):
@@ -209,13 +217,13 @@ def without(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
                 hit = counts & (at < len(marks))
                 hit[hit] = marks[at[hit]] == mine[hit]
                 n, lost = np.bincount(d, minlength=b - a), np.bincount(d[hit], minlength=b - a)
-                texts_out = [x.decode() for x in part]
+                texts_out = list(part)
                 first = np.cumsum(n) - n
                 for i in np.flatnonzero(lost):
                     stay = ~hit[first[i] : first[i] + n[i]]
-                    texts_out[i] = "\n".join([x for x, s in zip(part[i].decode().split("\n"), stay, strict=True) if s])
+                    texts_out[i] = b"\n".join([x for x, s in zip(part[i].split(b"\n"), stay, strict=True) if s])
                 cut = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(texts_out, pa.string()) if c == "text" else cut.column(c) for c in names] + [pa.array(n), pa.array(lost)], names=[*names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([pa.array(texts_out, pa.binary()).cast(pa.string()) if c == "text" else cut.column(c) for c in names] + [pa.array(n), pa.array(lost)], names=[*names, "n_lines", "n_dropped"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(run, schema)

@@ -43,7 +43,7 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 HELD = np.uint32(1 << 15)
 BURN, SAMPLES = 2, 3
 STRENGTH = 1.0
-CHUNK_BYTES, CHUNK_DOCS = 16 << 20, 60_000
+CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 60_000
 #: Customers seated one by one; later ones are seated in blocks that double.
 ONE_BY_ONE = 48
 
@@ -169,7 +169,6 @@ def seated(c: np.ndarray, a: np.ndarray, discount: float, r: np.random.Generator
 
 
 STATE = "bucket int, words binary, cells binary, roots binary"
-TOTALS = "bucket int, kind int, total double"
 
 
 def counted(table: DataFrame) -> DataFrame:
@@ -203,23 +202,30 @@ def counted(table: DataFrame) -> DataFrame:
 def totals(state: DataFrame) -> dict:
     """Sums over all buckets: customers and tables by context, and counts of counts."""
 
+    size = 2 * CONTEXTS + 8
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
         for batch in batches:
             for words, cells in zip(batch.column("words").to_pylist(), batch.column("cells").to_pylist(), strict=True):
                 types, per, ctx, c = unpack(words)
                 t = unpack(cells)[0]
                 place = np.repeat(np.arange(len(types)), per)
                 by_word, root = np.bincount(place, weights=c, minlength=len(types)), np.bincount(place, weights=t, minlength=len(types))
-                out = np.concatenate([
+                out += np.concatenate([
                     np.bincount(ctx, weights=c, minlength=CONTEXTS), np.bincount(ctx, weights=t, minlength=CONTEXTS),
                     [len(types), by_word.sum(), (by_word == 1).sum(), root.sum(), (c == 1).sum(), (c == 2).sum(), (root == 1).sum(), (root == 2).sum()],
                 ])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["kind", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["slot", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        out = sum(np.frombuffer(x, "<f8") for x in group.column("sums").to_pylist())
+        return pa.table([group.column("slot").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["slot", "sums"])
 
-    rows = state.select("words", "cells").mapInArrow(run, "kind int, total double").groupBy("kind").agg(F.sum("total").alias("total")).collect()
-    x = np.zeros(2 * CONTEXTS + 8)
-    for r in rows:
-        x[r["kind"]] = r["total"]
+    # a row for each task, then 16 rows for the driver; all are whole numbers, so their order doesn't matter
+    fields = "slot int, sums binary"
+    rows = state.select("words", "cells").mapInArrow(run, fields).groupBy("slot").applyInArrow(add, fields).collect()
+    x = sum((np.frombuffer(r["sums"], "<f8") for r in rows), np.zeros(size))
     names = ("types", "tokens", "once", "root_customers", "cells1", "cells2", "roots1", "roots2")
     return {"customers": x[:CONTEXTS], "tables": x[CONTEXTS : 2 * CONTEXTS], **dict(zip(names, x[2 * CONTEXTS :].tolist(), strict=True))}
 

@@ -1,3 +1,5 @@
+import random
+
 import brute
 import pytest
 
@@ -8,9 +10,18 @@ from chronoframe.llm import quality_ftrl, quality_rules
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
-    rows = brute.awkward(200)
+    r = random.Random(6)
+    line = lambda junk: " ".join(f"w{r.randrange(400)}" + "%%%" * junk for _ in range(12))
+    shared = [line(0) for _ in range(5)]
+    texts = [None, "", "too short", "again and " * 60]
+    while len(texts) < 160:
+        junk = len(texts) % 8 == 0
+        texts.append("\n".join(r.choice(shared) if r.random() < 0.2 and not junk else line(junk) for _ in range(10)))
+    texts += texts[20:30] + [x.replace("w1 ", "w2 ") + " end" for x in texts[41:47]]
+    rows = [(i, t, "en", f"src{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, brute.SCHEMA).write.parquet(f"{path}/documents.parquet")
-    labels = [(i, int(0 < (t or "").count(" ") < 250 or i % 5 > 0), 0) for i, t, *_ in rows if i % 2]
+    labels = [(i, int("%%%" not in (t or "%%%")), 0) for i, t, *_ in rows if i % 4]
+    labels += [(i, int("%%%" not in (t or "%%%")), 0) for i, t, *_ in rows if i % 8 == 0]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return str(path)
 
@@ -40,6 +51,7 @@ def test_each_stage_against_plain_versions(spark, folder):
             assert set(after) == {i for i, (_, c) in want.items() if i == c}
         else:
             assert {r.doc_id for r in got.collect()} == set(before)
+        assert 0 < got.count() and (len(before) > 120 or name != "quality rules")
         out = got
 
 
