@@ -1,0 +1 @@
+"""chronoframe: keyed numeric time series on Spark DataFrames."""
