@@ -24,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    out = out.where("u <> v")
+    return out if large else out.distinct()  # repeats do no harm to the step that follows
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -203,12 +203,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     more = confirmed(pairs, texts, k, num, den).unionByName(across_blocks(mixed.where(F.col("n") > SMALL), texts, k, num, den))
     more = written(more, "more-links")
     if more.limit(1).count():
-        comps = written(components(links.unionByName(more)), "components")
+        comps = written(merged(comps, more), "components")
 
     of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("n_shingles").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("component", "rep").alias("_c"))
     return _labelled(found, of_class)
 
 
+def merged(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (node, component) after more links (u, v): only components are linked, which are far fewer than nodes."""
+    of_u = comps.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    of_v = comps.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    ends = more.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    joined = written(components(ends), "merged").select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    old = comps.join(joined, F.col("component") == F.col("_old"), "left").select("node", F.coalesce("_new", "component").alias("component"))
+    # nodes that had no link before are their own component
+    fresh = joined.select(F.col("_old").alias("node"), F.col("_new").alias("component")).join(comps, "node", "left_anti").select("node", "component")
+    return old.unionByName(fresh)
+
+
 def _labelled(found: DataFrame, of_class: DataFrame) -> DataFrame:
     """Puts each class's component on its documents.
 
