@@ -9,8 +9,8 @@ keys under which documents meet.
 2. In each band bucket, every member is paired with the bucket's smallest id, and the pair is confirmed
    on the full sets.  This links nearly everything, with as many pairs as there are members.
 3. Buckets whose members then lie in more than one component are gone through again: small ones by
-   their pairs across components, large ones in pairs of blocks, each pair of blocks in a task of its
-   own that skips members already connected.  So every two documents that share a band are either
+   their pairs across components, large ones in pairs of blocks of different components, each in a
+   group of its own that skips members already connected.  So every two documents that share a band are either
    confirmed, refused, or known to be connected.
 4. Components come from large-star and small-star steps.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm.components import components
@@ -41,6 +41,8 @@ ROWS = 4
 MISS = 2e-6
 #: Members up to which a mixed bucket is gone through pair by pair, and members of a block beyond.
 SMALL, BLOCK = 24, 256
+#: Shares that the rows of one class, or of one component of a bucket, are dealt into.
+SALTS = 8
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -133,15 +135,26 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 
 def across_blocks(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links between members of large mixed buckets.
+    """Links between members of different components in large mixed buckets.
 
-    ``members`` has (key, id, comp, n).  Members are dealt into blocks by a hash; each pair of blocks is a
-    task's group of at most about 2 * BLOCK texts.  Members known to be connected aren't compared.
+    ``members`` has (key, id, comp, n).  In each bucket, a component of BLOCK members or more is dealt by a
+    hash into blocks of its own, which never meet each other; the other components share blocks.  Each
+    other pair of blocks is a task's group of at most about 2 * BLOCK texts.  So where nearly all members
+    of a bucket are connected already, rows grow with the bucket, not with its square.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("key", "id", "comp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    parts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).withColumn("lone", F.col("m") >= BLOCK)
+    parts = parts.withColumn("own", F.when(F.col("lone"), F.col("comp")).otherwise(F.lit(0)))
+    groups = parts.groupBy("key", "lone", "own").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
+    before = Window.partitionBy("key").orderBy("lone", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = groups.withColumn("first", (F.sum("blocks").over(before) - F.col("blocks")).cast("int"))
+    groups = groups.withColumn("total", F.sum("blocks").over(Window.partitionBy("key")).cast("int"))
+    # a component can hold nearly all members of a bucket, so members are dealt with a salt
+    layout = parts.join(groups, ["key", "lone", "own"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    layout = layout.select("key", "comp", "salt", "lone", "first", "blocks", "total")
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(layout, ["key", "comp", "salt"])
+    dealt = dealt.withColumn("mine", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda b: ~F.col("lone") | (b < F.col("first")) | (b >= F.col("first") + F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(others)).select("key", "id", "comp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     dealt = dealt.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
 
     def run(table: pa.Table) -> pa.Table:
@@ -227,9 +240,8 @@ def _labelled(found: DataFrame, of_class: DataFrame) -> DataFrame:
     A class can hold a third of all documents, so documents are dealt with a salt, and classes, of which
     each is one row, are repeated for every salt.
     """
-    salts = 8
-    left = found.select("doc_id", "n_shingles", "f1", "f2", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("_s"))
-    right = of_class.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    left = found.select("doc_id", "n_shingles", "f1", "f2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_s"))
+    right = of_class.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     on = [left["n_shingles"] == right["_n"], left["f1"] == right["_f1"], left["f2"] == right["_f2"], left["_s"] == right["_s"]]
     # a document without a set, or without an id, is its own component
     out = left.join(right, on, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("_c")).alias("component_id"))
