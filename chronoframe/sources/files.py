@@ -25,12 +25,20 @@ KEYS = "shard_id int, file_id long, seq long, key_id int, key string, category i
 BLOCKS = "shard_id int, bucket long, key_id long, count int, data binary"
 
 
-def listed(spark: SparkSession, folder: str, prefix: str, content: bool = True) -> DataFrame:
-    """(shard_id, file_id, content) of the files with the prefix."""
+def listed(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
+    """(shard_id, file_id, content) of the files with the prefix that aren't empty."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{prefix}.*").load(folder)
     place = rf"/(\d+)/{prefix}\.(\d+)$"
     named = files.where(F.col("path").rlike(place))
-    return named.select(F.regexp_extract("path", place, 1).cast("int").alias("shard_id"), F.regexp_extract("path", place, 2).cast("long").alias("file_id"), *(["content"] if content else []))
+    return named.select(F.regexp_extract("path", place, 1).cast("int").alias("shard_id"), F.regexp_extract("path", place, 2).cast("long").alias("file_id"), "content")
+
+
+def completed(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard_id, file_id) of the completion marks.  They are empty files, which Spark's readers skip, so their names are listed."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*/{COMPLETE_PREFIX}.*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    names = [(f.getPath().getParent().getName(), f.getPath().getName().removeprefix(f"{COMPLETE_PREFIX}.")) for f in found]
+    return spark.createDataFrame([(int(s), int(n)) for s, n in names if s.isdigit() and n.isdigit()], "shard_id int, file_id long")
 
 
 def key_records(raw: bytes) -> Iterator[tuple[int, str, int]]:
@@ -109,8 +117,7 @@ def read_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of the files that have a completion mark beside them; a file's number is its bucket."""
-    done = listed(spark, folder, COMPLETE_PREFIX, content=False).select("shard_id", "file_id")
-    files = listed(spark, folder, BLOCK_PREFIX).join(done, ["shard_id", "file_id"], "left_semi")
+    files = listed(spark, folder, BLOCK_PREFIX).join(completed(spark, folder), ["shard_id", "file_id"], "left_semi")
     return _exploded(files.select("shard_id", "file_id", "content"), BLOCKS, block_records, lambda s, f, _, x: (s, f, *x))
 
 
