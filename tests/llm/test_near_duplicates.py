@@ -35,6 +35,29 @@ def test_same_components_as_all_pairs(spark, k, num, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c) and kept.columns == docs.columns
 
 
+def test_blocks_of_one_component_never_meet(spark, monkeypatch):
+    """A bucket of one large component, a second one of several blocks, and single members: every link across is found, by few rows."""
+    monkeypatch.setattr(M, "BLOCK", 10)
+    base = " ".join(f"w{k}" for k in range(60))
+    ids = list(range(200)) + list(range(300, 325)) + [400, 401, 402]
+    comp = {i: 0 if i < 200 else 300 if i < 400 else i for i in ids}
+    same = {7, 310, 401, 402}  # one text of each component, and two single members
+    texts = spark.createDataFrame([(i, base if i in same else f"t{i} " * 3 + f"u{i} v{i}") for i in ids], "doc_id long, text string")
+    members = spark.createDataFrame([(1, i, comp[i], len(ids)) for i in ids], "key long, id long, comp long, n long")
+    links = [(r.u, r.v) for r in M.across_blocks(members, texts, 3, 85, 100).collect()]
+    root = {c: c for c in set(comp.values())}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    for u, v in links:
+        assert {u, v} <= same and comp[u] != comp[v]
+        root[find(comp[u])] = find(comp[v])
+    assert len({find(comp[i]) for i in same}) == 1 and find(400) not in {find(comp[i]) for i in same}
+
+
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (2, None), (9, "A B C D E")], "doc_id long, text string")
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.component_id, r.kept) for r in M.near_duplicates(docs).collect())
