@@ -66,5 +66,17 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_line_dedup, op2_lm_score, op3_pack, op4_near_duplicates, op5_quality, op6_bpe, op7_toxicity, op8_nearest, op9_token_files, op10_quality_rules)}
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP1_SQL = f"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l),
+n AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{UPPER.lower()}') AS key FROM k),
+g AS (SELECT key, min(doc_id) AS first FROM n WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first < doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (first IS NULL OR first = doc_id), '')) AS kept_sha256
+FROM n LEFT JOIN g USING (key) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL}
