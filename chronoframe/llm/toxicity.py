@@ -7,6 +7,9 @@ of confirmed rows among the labelled rows of the training folds.  Features are h
 sub-words and of their first five, six and seven bytes; weights are kept sparse by a proximal L1 step.
 The fit uses at most SAMPLE labelled rows (a documented bound); every document is scored.
 
+A text's score is the highest of its windows of WINDOW sub-words, so that a few toxic words in a long
+text aren't outweighed by the many common ones around them.
+
 Null and empty texts score the sigmoid of the bias.  Without confirmed rows all weights are 0 but the
 bias, which makes every score low.  Repeated rows and ties get equal scores.
 """
@@ -26,34 +29,44 @@ BUCKETS = 1 << 18
 #: Labelled rows that the fit uses at most.
 SAMPLE = 16_000
 THRESHOLD = 0.7
-EPOCHS, BATCH, RATE, L1 = 30, 256, 0.5, 1e-4
+#: Sub-words of a window.
+WINDOW = 128
+EPOCHS, BATCH, RATE = 30, 256, 0.5
+#: The L1 penalty is this over the square root of the sample's rows, as the noise of gradients is.
+PENALTY = 0.01
+#: Where the sums of squared gradients start, so that a bucket's first steps are small.
+SQUARES = 1e-3
 #: Buckets found in fewer documents of the sample get no weight.
 MIN_DOCS = 3
 BIAS, FIRST = 0, 1
 PREFIXES = (5, 6, 7)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets by text, and the text of each."""
-    flat = Flat(texts, lower=True)
-    a, b = flat.subwords()
-    d = flat.docs(a)
-    hs, ds = [flat.hashes(a, b, seed=7)], [d]
+def _buckets(flat: Flat, begins: np.ndarray, ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of the sub-words in each group ``of`` and the group of each."""
+    hs, gs = [flat.hashes(begins, ends, seed=7)], [of]
     for k in PREFIXES:
-        long = b - a > k
-        hs.append(flat.hashes(a[long], a[long] + k, seed=8 + k))
-        ds.append(d[long])
+        long = ends - begins > k
+        hs.append(flat.hashes(begins[long], begins[long] + k, seed=8 + k))
+        gs.append(of[long])
     top = np.uint64(64 - BUCKETS.bit_length() + 1)
     f = np.maximum((np.concatenate(hs) >> top).astype(np.int64), FIRST)
-    key = np.sort(np.concatenate(ds) * BUCKETS + f)
+    key = np.sort(np.concatenate(gs) * BUCKETS + f)
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     return key % BUCKETS, key // BUCKETS
 
 
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets by text, and the text of each."""
+    flat = Flat(texts, lower=True)
+    a, b = flat.subwords()
+    return _buckets(flat, a, b, flat.docs(a))
+
+
 def train(rows: list) -> np.ndarray:
     """Minibatches of P and U together; Adagrad steps; the averaged weights of the last third."""
-    w, g2 = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
+    w, g2 = np.zeros(BUCKETS), np.full(BUCKETS, SQUARES)
     w[BIAS] = -2.0
     positive = [f for _, y, f in rows if y == 1]
     unlabelled = [f for _, _, f in rows]
@@ -61,6 +74,7 @@ def train(rows: list) -> np.ndarray:
         w[BIAS] = -4.0
         return w
     prior = len(positive) / len(rows)
+    l1 = PENALTY / np.sqrt(len(rows))
     rare = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS) < MIN_DOCS
     rare[BIAS] = False
     steps = max(1, -(-len(unlabelled) // BATCH))
@@ -96,7 +110,7 @@ def train(rows: list) -> np.ndarray:
             step = RATE / np.sqrt(g2)
             w -= step * g
             bias = w[BIAS]
-            w = np.sign(w) * np.maximum(0, np.abs(w) - step * L1 * (g2 > 1e-6))
+            w = np.sign(w) * np.maximum(0, np.abs(w) - step * l1 * (g2 > SQUARES))
             w[BIAS] = bias
             if 3 * epoch >= 2 * EPOCHS:
                 total += w
@@ -105,8 +119,17 @@ def train(rows: list) -> np.ndarray:
 
 
 def scores(w: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    f, d = features(texts)
-    return sigmoid(per_doc(w[f], d, len(texts)) + w[BIAS])
+    """The highest score of a text's windows, which cover all of it; a text without sub-words has one empty window."""
+    flat = Flat(texts, lower=True)
+    a, b = flat.subwords()
+    d = flat.docs(a)
+    per = np.bincount(d, minlength=len(texts))
+    windows = np.maximum(1, -(-per // WINDOW))
+    first = np.cumsum(windows) - windows
+    place = np.arange(len(d)) - (np.cumsum(per) - per)[d]
+    f, of = _buckets(flat, a, b, first[d] + place // WINDOW)
+    z = per_doc(w[f], of, int(windows.sum()))
+    return sigmoid(np.maximum.reduceat(z, first) + w[BIAS]) if len(texts) else np.zeros(0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:

@@ -173,3 +173,21 @@ def test_classifiers_learn_and_take_anything(spark, docs, rows, empty, model, la
     assert model.score(empty, w).count() == 0
     none = model.fit(some, labels.limit(0))
     assert {r.predicted for r in model.score(docs, none).collect()} <= {0, 1}
+
+
+def test_toxic_words_in_a_long_text_count():
+    """A few toxic words at any place of a long text score as high as in a window of their own."""
+    r = np.random.default_rng(5)
+    plain, vile = [f"plain{i}" for i in range(300)], ["vile", "scum", "moron"]
+    texts = []
+    for k in range(900):
+        words = [plain[i] for i in r.integers(0, 300, int(r.integers(20, 400)))]
+        for _ in range(3 * (k % 3 == 0)):
+            words.insert(int(r.integers(0, len(words))), vile[int(r.integers(0, 3))])
+        texts.append(" ".join(words).encode())
+    f, d = toxicity.features(texts)
+    w = toxicity.train([(k, int(k % 3 == 0), f[d == k]) for k in range(900)])
+    calm = b" ".join(plain[i].encode() for i in r.integers(0, 300, 20_000))
+    middle = calm.index(b" ", len(calm) // 2)
+    found = toxicity.scores(w, [calm, calm + b" vile scum", b"vile scum " + calm, calm[:middle] + b" vile scum moron" + calm[middle:], b""])
+    assert list(found >= toxicity.THRESHOLD) == [False, True, True, True, False]
