@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,30 +12,56 @@ SERIES = ["shard_id", "key"]
 ORDER = ["arrival", "event_id"]
 
 
-def admit_window(points: DataFrame) -> DataFrame:
-    """Minimum step 0: a point is taken if no earlier arrival of its series is newer.  A refused point can't raise
-    the maximum, so one running window is exact."""
-    by = Window.partitionBy(*SERIES).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.max("ts").over(by)
-    return points.withColumn("admitted", newest.isNull() | (F.col("ts") >= newest))
+#: Arrivals of a block of ``newest_before``.
+SPAN = 1_000_000
 
 
-def admit_fold(points: DataFrame, min_delta: int) -> DataFrame:
-    """Any minimum step: a fold over each series in arrival order that carries the last taken timestamp.
+def newest_before(points: DataFrame, by: list[str], span: int = SPAN) -> DataFrame:
+    """Adds newest_before, the largest ts of earlier arrivals with the same ``by``; null if there is none.
 
-    A last timestamp of 0 doesn't refuse anything, as it also means that there is none.
+    Arrivals are cut into blocks, each a task's group of its own, and the maximum of all earlier blocks comes
+    from a table with a row for each block.  So one hot series or shard is spread over as many tasks as it has
+    blocks.  Null arrivals come first; columns of ``by`` shouldn't be null.
     """
-    fields = [c for c in points.columns if c not in SERIES]
-    rows = points.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct(*ORDER, *[c for c in fields if c not in ORDER]))).alias("r"))
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("taken"))
+    rows = points.withColumn("_block", F.expr(f"arrival div {span}"))
+    tops = rows.groupBy(*by, "_block").agg(F.max("ts").alias("_top"))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*by, "_block", F.max("_top").over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*by, "_block").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(carried, [*by, "_block"], "left")
+    return joined.withColumn("newest_before", F.greatest("_carried", F.max("ts").over(inside))).drop("_block", "_carried")
 
-    def step(acc: Column, x: Column) -> Column:
-        ok = (acc["last"] == 0) | (x["ts"] - acc["last"] >= min_delta)
-        return F.struct(F.when(ok, x["ts"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["taken"], F.array(x["event_id"]))).otherwise(acc["taken"]).alias("taken"))
 
-    folded = rows.select(*SERIES, "r", F.aggregate("r", start, step)["taken"].alias("taken"))
-    kept = folded.select(*SERIES, F.explode(F.filter("r", lambda x: F.array_contains("taken", x["event_id"]))).alias("x"))
-    return kept.select(*SERIES, *[F.col(f"x.{c}").alias(c) for c in fields])
+def admit_window(points: DataFrame, span: int = SPAN) -> DataFrame:
+    """Minimum step 0: a point is taken if no earlier arrival of its series is newer.  A refused point can't raise
+    the maximum, so a running maximum is exact."""
+    newest = F.col("newest_before")
+    return newest_before(points, SERIES, span).withColumn("admitted", newest.isNull() | (F.col("ts") >= newest)).drop("newest_before")
+
+
+def admit_fold(points: DataFrame, min_delta: int) -> DataFrame:
+    """Any minimum step: a pass over each series in arrival order that carries the last taken timestamp.
+
+    A series lies in one task, since each decision needs the one before, but its rows stream through sorted and
+    only the carried timestamp is held.  A last timestamp of 0 doesn't refuse anything, as it also means that there
+    is none.  Null timestamps are refused.
+    """
+    laid = points.select(*SERIES, *[c for c in points.columns if c not in SERIES]).repartition(*SERIES).sortWithinPartitions(*SERIES, *ORDER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, last = None, 0
+        for batch in batches:
+            taken = []
+            for shard, key, ts in zip(*(batch.column(c).to_pylist() for c in (*SERIES, "ts")), strict=True):
+                if (shard, key) != series:
+                    series, last = (shard, key), 0
+                ok = ts is not None and (last == 0 or ts - last >= min_delta)
+                if ok:
+                    last = ts
+                taken.append(ok)
+            yield batch.filter(pa.array(taken, pa.bool_()))
+
+    return laid.mapInArrow(run, laid.schema)
 
 
 def adjusted(ts: Column, now: int, behind: int, ahead: int) -> Column:

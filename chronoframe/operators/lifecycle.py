@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.config import STATES
-from chronoframe.functions.buckets import bucket, bucket_start
+from chronoframe.functions.buckets import bucket
+from chronoframe.operators.admit import ORDER, SPAN, newest_before
 
 SERIES = ["shard_id", "key"]
 
@@ -40,8 +41,8 @@ def behind(found: DataFrame, target: int) -> DataFrame:
 def retained(points: DataFrame, window: int, keep: int) -> DataFrame:
     """Points of each series' newest bucket and the ``keep`` before it."""
     with_bucket = points.withColumn("bucket", bucket(F.col("ts"), window))
-    newest = F.max("bucket").over(Window.partitionBy(*SERIES))
-    return with_bucket.withColumn("_new", newest).where(F.col("bucket") >= F.col("_new") - keep).drop("_new")
+    newest = with_bucket.groupBy(*SERIES).agg(F.max("bucket").alias("_new"))
+    return with_bucket.join(newest, SERIES).where(F.col("bucket") >= F.col("_new") - keep).drop("_new")
 
 
 def expired(found: DataFrame, now: int, window: int, keep: int) -> DataFrame:
@@ -60,10 +61,9 @@ def missing_files(files: DataFrame) -> DataFrame:
     return files.withColumn("_n", following).groupBy("shard_id").agg(F.count_if(F.col("_n") != F.col("id") + 1).alias("n_holes"))
 
 
-def log_gaps(points: DataFrame, limit: int) -> DataFrame:
+def log_gaps(points: DataFrame, limit: int, span: int = SPAN) -> DataFrame:
     """Places in each shard's log where time jumps by more than ``limit`` seconds."""
-    by = Window.partitionBy("shard_id").orderBy("arrival", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return points.withColumn("newest_before", F.max("ts").over(by)).where(F.col("ts") - F.col("newest_before") > limit).select("shard_id", "event_id", "ts", "newest_before")
+    return newest_before(points, ["shard_id"], span).where(F.col("ts") - F.col("newest_before") > limit).select("shard_id", "event_id", "ts", "newest_before")
 
 
 def reliable_from(gaps: DataFrame) -> DataFrame:
@@ -79,8 +79,9 @@ def replayed(log: DataFrame, keys: DataFrame, window: int, last_block: int) -> D
 
 def log_files(points: DataFrame, window: int) -> DataFrame:
     """Each record's log file: named by the first timestamp seen of its shard and bucket."""
-    by = Window.partitionBy("shard_id", "_b").orderBy("arrival", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return points.withColumn("_b", bucket(F.col("ts"), window)).withColumn("file_ts", F.first("ts").over(by)).drop("_b")
+    rows = points.withColumn("_b", bucket(F.col("ts"), window))
+    first = rows.groupBy("shard_id", "_b").agg(F.min_by("ts", F.struct(*ORDER)).alias("file_ts"))
+    return rows.join(first, ["shard_id", "_b"]).drop("_b")
 
 
 def state_transitions(spark) -> DataFrame:

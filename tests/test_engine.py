@@ -171,3 +171,34 @@ def test_watermarked_counts(spark, sf_dir, tmp_path):
     query = ingest.bucket_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     assert query.awaitTermination(240)
     assert spark.table("counts").agg(F.sum("count")).first()[0] == p.count()
+
+
+def test_running_maximum_over_blocks(spark):
+    """However the arrivals are cut into blocks, the newest earlier timestamp is that of one pass in arrival order."""
+    rows = [(k % 3, "hot" if k % 4 else f"k{k % 7}", (k * 7919) % 101, 1.0, (k * 31) % 50, k) for k in range(400)]
+    p = spark.createDataFrame(rows, SCHEMA)
+    seen, want = {}, {}
+    for shard, key, ts, _, _, event in sorted(rows, key=lambda r: (r[4], r[5])):
+        want[event] = seen.get((shard, key))
+        seen[shard, key] = max(ts, seen.get((shard, key), ts))
+    for span in (1, 7, 1000):
+        got = {r.event_id: r.newest_before for r in admit.newest_before(p, admit.SERIES, span).collect()}
+        assert got == want
+    assert admit.newest_before(p.limit(0), admit.SERIES).count() == 0
+
+
+def test_fold_over_many_batches(spark):
+    """The carried timestamp goes on from one Arrow batch to the next, and null timestamps are refused."""
+    rows = [(k % 2, "a", None if k % 50 == 0 else (k * 37) % 90, 1.0, k, k) for k in range(300)]
+    want, last = [], {}
+    for shard, _, ts, _, _, event in rows:
+        if ts is not None and (not last.get(shard) or ts - last[shard] >= 20):
+            last[shard] = ts
+            want.append(event)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "9")
+    try:
+        assert sorted(r.event_id for r in admit.admit_fold(spark.createDataFrame(rows, SCHEMA), 20).collect()) == want
+    finally:
+        spark.conf.set(key, before)
