@@ -1,4 +1,4 @@
-"""Binary key lists and block files, brought in as tables.
+"""Binary key lists, block files and logs, brought in as tables; blocks and logs can be built too.
 
 Files lie in ``<folder>/<shard>/<prefix>.<number>``; all integers in them are big-endian.  Spark reads each file
 as one value (2 GB at most) and Arrow batches take it apart, so files are spread over the cluster.
@@ -8,20 +8,28 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoframe.config import DEFAULT
 from chronoframe.functions.bits import STORAGE_ID
-from chronoframe.functions.codec import decode_block
+from chronoframe.functions.codec import LEADING_BITS, MAX_LEADING, SIZE_BITS, Reader, Writer, decode_block
 
 # fixed values of the formats
-KEY_PREFIX, BLOCK_PREFIX, COMPLETE_PREFIX = "key_list", "block_data", "complete_block"
+KEY_PREFIX, BLOCK_PREFIX, COMPLETE_PREFIX, LOG_PREFIX = "key_list", "block_data", "complete_block", "log"
 PLAIN_MARK, CATEGORY_MARK = b"0", b"1"
 PAGE_BYTES = 65536
+SHORT_ID_BITS, LONG_ID_BITS = 21, 29
+LOG_DELTA_BITS = (0, 7, 14, 32)  # by the ones of the control bits; what is stored is the step plus 2**(bits - 1) - 1
+#: No record of a log is longer: 30 bits of id, 35 of the step and 76 of the value.
+RECORD_BYTES = 18
+ROWS_AT_ONCE = 65536
 
 KEYS = "shard_id int, file_id long, seq long, key_id int, key string, category int"
+LOGS = "shard_id int, file_ts long, seq long, key_id long, ts long, value double"
 BLOCKS = "shard_id int, bucket long, key_id long, count int, data binary"
 
 
@@ -94,6 +102,75 @@ def block_file(blocks: list[tuple[int, int, bytes]]) -> bytes:
     return struct.pack(f">II{n}I{n}Q", n, len(pages), *(b[0] for b in blocks), *places) + b"".join(bytes(p).ljust(PAGE_BYTES, b"\0") for p in pages)
 
 
+def log_records(raw: bytes, base: int) -> Iterator[tuple[int, int, float]]:
+    """(key_id, ts, value) of each whole record of a log that starts from the timestamp ``base``.
+
+    Each record begins at a byte.  What follows a cut-off record, or one whose id is too large, isn't read.
+    """
+    ts, before, at = base, {}, 0
+    while at < len(raw):
+        r = Reader(raw[at : at + RECORD_BYTES])
+        try:
+            key_id = r.get(LONG_ID_BITS if r.get(1) else SHORT_ID_BITS)
+            if key_id > DEFAULT.max_key_id:
+                return
+            ones = 0
+            while ones < 3 and r.get(1):
+                ones += 1
+            step = r.get(LOG_DELTA_BITS[ones])
+            if ones:
+                step -= (1 << LOG_DELTA_BITS[ones] - 1) - 1
+            bits = before.get(key_id, 0)
+            if r.get(1):
+                leading, size = r.get(LEADING_BITS), r.get(SIZE_BITS) + 1
+                if leading + size > 64:
+                    return
+                bits ^= r.get(size) << 64 - leading - size
+        except ValueError:
+            return
+        at += -(-r.at // 8)
+        ts += step
+        before[key_id] = bits
+        yield key_id, ts, struct.unpack(">d", struct.pack(">Q", bits))[0]
+
+
+def log_bytes(records: list[tuple[int, int, float]], base: int) -> bytes:
+    """A log of (key_id, ts, value) records; ValueError where an id or a step doesn't fit."""
+    out, last, before = [], base, {}
+    for key_id, ts, value in records:
+        if not 0 <= key_id <= DEFAULT.max_key_id:
+            raise ValueError(f"the id {key_id} doesn't fit a log")
+        w = Writer()
+        long = key_id >> SHORT_ID_BITS > 0
+        w.put(long, 1)
+        w.put(key_id, LONG_ID_BITS if long else SHORT_ID_BITS)
+        step, last = ts - last, ts
+        if step == 0:
+            w.put(0, 1)
+        else:
+            for ones in (1, 2, 3):
+                half = 1 << LOG_DELTA_BITS[ones] - 1
+                if -half < step <= half:
+                    break
+            else:
+                raise ValueError("the step doesn't fit a log")
+            w.put((1 << ones) - 1, ones)
+            if ones < 3:
+                w.put(0, 1)
+            w.put(step + half - 1, LOG_DELTA_BITS[ones])
+        bits = struct.unpack(">Q", struct.pack(">d", value))[0]
+        x = bits ^ before.get(key_id, 0)
+        before[key_id] = bits
+        w.put(x != 0, 1)
+        if x:
+            leading, trailing = min(MAX_LEADING, 64 - x.bit_length()), (x & -x).bit_length() - 1
+            w.put(leading, LEADING_BITS)
+            w.put(63 - leading - trailing, SIZE_BITS)
+            w.put(x >> trailing, 64 - leading - trailing)
+        out.append(w.bytes())
+    return b"".join(out)
+
+
 def _exploded(files: DataFrame, fields: str, rows_of: Callable[[bytes], Iterator[tuple]], row: Callable[[int, int, int, tuple], tuple]) -> DataFrame:
     """A row for each record of each file."""
     arrow = files.sparkSession.createDataFrame([], fields).toArrow().schema
@@ -121,6 +198,23 @@ def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return _exploded(files.select("shard_id", "file_id", "content"), BLOCKS, block_records, lambda s, f, _, x: (s, f, *x))
 
 
+def read_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of all log files; a file's number is the timestamp that it starts from, and ``seq`` ascends in it."""
+    files = listed(spark, folder, LOG_PREFIX).select("shard_id", "file_id", "content")
+    arrow = spark.createDataFrame([], LOGS).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, file, raw in zip(*(batch.column(c) for c in ("shard_id", "file_id", "content")), strict=True):
+                s, f = shard.as_py(), file.as_py()
+                found = enumerate(log_records(raw.as_py(), f))
+                while part := list(islice(found, ROWS_AT_ONCE)):
+                    cols = zip(*((s, f, k, *x) for k, x in part), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], names=arrow.names)
+
+    return files.mapInArrow(run, LOGS)
+
+
 def points_of(blocks: DataFrame, default_delta: int = 60) -> DataFrame:
     """(shard_id, bucket, key_id, ts, value) of all blocks' points."""
 

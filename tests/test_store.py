@@ -61,3 +61,28 @@ def test_block_files(spark, tmp_path):
     for bad in (b"", raw[:7], raw[:-1]):
         with pytest.raises(ValueError):
             list(files.block_records(bad))
+
+
+def test_logs(spark, tmp_path):
+    literal = [(0, 101, 2.0), (0, 101, 2.0), (3, 104, 5.0), (3000000, 9000, 0.0)]
+    shard = tmp_path / "8"
+    shard.mkdir()
+    (shard / "log.101").write_bytes(files.log_bytes(literal, 101))
+    steps = [0, 1, -1, 64, -63, 65, -64, 8192, -8191, 8193, -8192, 10**6, -(10**6)]
+    values = [0.0, -0.0, 1.5, math.inf, -math.inf, 5e-324, 1e308, 1.5, 1.5]
+    ts, many = 50_000_000, []
+    for k in range(500):
+        ts += steps[k % len(steps)]
+        many.append(((k * k) % 5 << 20, ts, values[(k * 7) % len(values)]))
+    raw = files.log_bytes(many, 50_000_000)
+    (shard / "log.50000000").write_bytes(raw)
+    (shard / "log.50000001").write_bytes(b"")
+    got = files.read_logs(spark, f"file://{tmp_path}").orderBy("file_ts", "seq").collect()
+    assert [(r.key_id, r.ts, struct.pack(">d", r.value)) for r in got] == [(i, t, struct.pack(">d", v)) for i, t, v in literal + many]
+    assert {(r.shard_id, r.file_ts) for r in got} == {(8, 101), (8, 50_000_000)}
+    assert len(files.log_bytes(literal[:1], 101)) == -(-(22 + 1 + 1 + 11 + 1) // 8)  # 2.0 has one set bit
+    assert list(files.log_records(raw[:-1], 50_000_000)) == many[:-1]
+    assert not list(files.log_records(files.log_bytes([(2**21, 5, 1.0)], 5).replace(b"\x80", b"\xff", 1), 5))  # the id is too large
+    for bad in ([(-1, 0, 1.0)], [(10**8, 0, 1.0)], [(1, 1 << 40, 1.0)]):
+        with pytest.raises(ValueError):
+            files.log_bytes(bad, 0)
