@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions import bits
 from chronoframe.functions.buckets import bucket
 from chronoframe.functions.codec import decode_block, encode_block
+from chronoframe.operators.admit import ORDER, SPAN
 
 SERIES = ["shard_id", "key"]
 
@@ -34,10 +35,18 @@ def xor_profile(points: DataFrame, window: int) -> DataFrame:
     return b.withColumn("x", x).where("x <> 0").select("key", "bucket", "ts", "arrival", bits.leading_zeros(F.col("x")).alias("leading"), bits.trailing_zeros(F.col("x")).alias("trailing"))
 
 
-def log_bits(points: DataFrame, keys: DataFrame) -> DataFrame:
-    """Bits of each log record's id and delta; the delta is against the shard's record before, whatever its series."""
-    by = Window.partitionBy("shard_id").orderBy("arrival", "event_id")
-    rows = points.join(keys, SERIES).withColumn("delta", F.col("ts") - F.coalesce(F.lag("ts").over(by), F.col("ts")))
+def log_bits(points: DataFrame, keys: DataFrame, span: int = SPAN) -> DataFrame:
+    """Bits of each log record's id and delta; the delta is against the shard's record before, whatever its series.
+
+    As in ``newest_before``, a shard's arrivals are cut into blocks; a block's first record looks at the last one
+    of the block before.
+    """
+    rows = points.withColumn("_block", F.expr(f"arrival div {span}"))
+    ends = rows.groupBy("shard_id", "_block").agg(F.max_by("ts", F.struct(*ORDER)).alias("_end"))
+    ends = ends.select("shard_id", "_block", F.lag("_end").over(Window.partitionBy("shard_id").orderBy("_block")).alias("_before"))
+    inside = F.lag("ts").over(Window.partitionBy("shard_id", "_block").orderBy(*ORDER))
+    rows = rows.join(ends, ["shard_id", "_block"], "left").withColumn("delta", F.col("ts") - F.coalesce(inside, F.col("_before"), F.col("ts")))
+    rows = rows.join(keys, SERIES)
     id_bits = F.when(F.col("key_id") < 1 << 21, 22).otherwise(30)
     delta = F.when(F.col("delta") == 0, 1).when(F.col("delta").between(-63, 64), 9).when(F.col("delta").between(-8191, 8192), 17).otherwise(35)
     return rows.select("shard_id", "event_id", "delta", (id_bits + delta).alias("bits"))

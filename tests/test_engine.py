@@ -202,3 +202,15 @@ def test_fold_over_many_batches(spark):
         assert sorted(r.event_id for r in admit.admit_fold(spark.createDataFrame(rows, SCHEMA), 20).collect()) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_log_deltas_over_blocks(spark):
+    """The step at a block's first record is against the last record of the block before."""
+    rows = [(k % 2, f"k{k % 5}", (k * 7919) % 20011, 1.0, (k * 31) % 50, k) for k in range(200)]
+    p, last, want = spark.createDataFrame(rows, SCHEMA), {}, {}
+    for shard, _, ts, _, _, event in sorted(rows, key=lambda r: (r[4], r[5])):
+        want[event] = ts - last.get(shard, ts)
+        last[shard] = ts
+    keys = spark.createDataFrame([(s, f"k{k}", k) for s in (0, 1) for k in range(5)], "shard_id int, key string, key_id int")
+    for span in (1, 7, 1000):
+        assert {r.event_id: r.delta for r in codec_stats.log_bits(p, keys, span).collect()} == want
