@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, groupby, islice
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,16 +58,23 @@ def log_bits(points: DataFrame, keys: DataFrame, span: int = SPAN) -> DataFrame:
 BLOCKS = "shard_id int, key string, bucket long, count int, data binary"
 
 
-def encode(points: DataFrame, window: int) -> DataFrame:
-    """Blocks of the points, one for each series and bucket."""
+BLOCKS_AT_ONCE = 4096
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("ts", "ascending"), ("arrival", "ascending")])
-        pairs = list(zip(group.column("ts").to_pylist(), group.column("value").to_pylist(), strict=True))
-        head = [group.column(c).slice(0, 1) for c in (*SERIES, "bucket")]
-        return pa.table([*head, pa.array([len(pairs)], pa.int32()), pa.array([encode_block(pairs)[0]], pa.binary())], names=[*SERIES, "bucket", "count", "data"])
 
-    return points.withColumn("bucket", bucket(F.col("ts"), window)).groupBy(*SERIES, "bucket").applyInArrow(run, BLOCKS)
+def encode(points: DataFrame, window: int) -> DataFrame:
+    """Blocks of the points, one for each series and bucket; rows stream through sorted, so a task holds one block's points at a time."""
+    by = [*SERIES, "bucket"]
+    laid = points.withColumn("bucket", bucket(F.col("ts"), window)).select(*by, "ts", "arrival", "value").repartition(*by).sortWithinPartitions(*by, "ts", "arrival")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*(batch.column(c).to_pylist() for c in (*by, "ts", "value")), strict=True) for batch in batches)
+        pairs = ((head, [r[3:] for r in group]) for head, group in groupby(rows, key=lambda r: r[:3]))
+        encoded = ((*head, len(x), encode_block(x)[0]) for head, x in pairs)
+        types = (pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.binary())
+        while part := list(islice(encoded, BLOCKS_AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=[*by, "count", "data"])
+
+    return laid.mapInArrow(run, BLOCKS)
 
 
 def decode(found: DataFrame) -> DataFrame:
