@@ -1,19 +1,25 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Every token is a customer of the restaurant of its context; the contexts' restaurants share one parent,
-the unigram restaurant, whose dishes come from a base over the V training types and one unknown type.
-A context is the class of the token before (CONTEXTS classes: a hash of its last bytes; class 0 at a
-text's start), so the number of restaurants is bounded while their customers are the whole corpus.
-Seating is sampled by Gibbs: in each round every restaurant seats its customers anew, given its parent's
-predictive probabilities and the other totals of the round before; a customer opens a table with
-probability proportional to (strength + discount * tables) * parent(word).  After BURN rounds, each round
-is a sample, and scores use predictive probabilities averaged over the samples.
-
-Layout: tokens are dealt by a hash of the word, so that one task has all a word's cells (word, context)
-and its place in the parent.  Chunks of documents send each bucket one compressed block of (word, context,
-document, count) entries; counts and scores both come from these blocks, the scores going back as sums by
-document.  Only totals by context go to the driver.  Nothing else is bounded: counts cover all training
-documents.
+Every token is a customer of the restaurant of its context, the whole token before it (``by_word``; known by
+48 bits of its hash) or the text's start.  The parent of a context is its class (CONTEXTS classes: a hash of
+the last bytes; class 0 at a text's start), the classes' restaurants share one parent, the unigram
+restaurant, and its dishes come from a base over the V training types and one unknown type.  Without
+``by_word`` the classes are the contexts.
+
+In a context's restaurant all customers of one dish share a table (interpolated Kneser-Ney), so that its
+tables are its distinct followers.  In the classes' and the unigram restaurant seating is sampled by Gibbs:
+in each round every restaurant seats its customers anew, given its parent's predictive probabilities and the
+other totals of the round before; a customer opens a table with probability proportional to (strength +
+discount * tables) * parent(word).  After BURN rounds, each round is a sample, and scores use predictive
+probabilities averaged over the samples.
+
+Layout: tokens are dealt by a hash of the word, so that one task has all a word's cells (word, context),
+its cells by class and its place in the parent.  Chunks of documents send each bucket one compressed block
+of (word, context, document, count) entries; counts and scores both come from these blocks, the scores
+going back as sums by document.  Followers of a context are counted where its cells are, summed where the
+context's own tokens are, and sent back.  A context's share for its parent is a factor of each probability
+that follows it, so it is scored with the context's own tokens.  Only totals by class go to the driver.
+Nothing else is bounded: counts cover all training documents.
 
 Null and empty texts are one token, the end.  Rows of equal doc_id are scored one by one; a null doc_id
 is learnt from.  An empty table gives no rows.
@@ -21,6 +27,8 @@ is learnt from.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import struct
 import uuid
 import zlib
@@ -34,24 +42,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.kernel import Flat, binary_list, mix, slices
-from chronoframe.llm.storage import new_path, partitions, small_batches, written
+from chronoframe.llm.storage import dropped, new_path, partitions, small_batches, written
 
+#: Classes of contexts.
 CONTEXTS = 256
 #: Bytes at the end of a token that make its class.
 SUFFIX = 3
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-HELD = np.uint32(1 << 15)
+#: A context is the upper 48 bits of its token's hash, then its class; 0 is a text's start.
+CUT, BY_CLASS = np.uint64(16), np.uint64(8)
 BURN, SAMPLES = 2, 3
 STRENGTH = 1.0
 CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 60_000
 #: Customers seated one by one; later ones are seated in blocks that double.
 ONE_BY_ONE = 48
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block."""
     head = struct.pack("<I", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *(np.ascontiguousarray(a).data for a in arrays)]))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -66,60 +77,138 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """First bytes of all values, then second ones, and so on: what is alike in them packs well."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.ravel()
+
+
+def of_planes(x: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).ravel().view(kind)
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Ascending 64-bit values by their differences."""
+    return planes(np.diff(x, prepend=x.dtype.type(0)).astype("<u8"))
+
+
+def of_steps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(of_planes(x, "<u8"), dtype=np.uint64)
+
+
+def index_kind(n: int) -> str:
+    """Of an index under n and a bit over it."""
+    return "<u2" if n <= 1 << 15 else "<u4"
+
+
+def entries(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Words, their entries, contexts; by entry: index of the context, whether held out, document, count."""
+    w, n_w, ctxs, at, doc, times = unpack(blob)
+    ctxs = of_steps(ctxs)
+    at = of_planes(at, index_kind(len(ctxs)))
+    top = at.itemsize * 8 - 1
+    return w, n_w, ctxs, (at & at.dtype.type((1 << top) - 1)).astype(np.int64), (at >> at.dtype.type(top)).astype(bool), doc, times
+
+
+def give_back() -> None:
+    """Free memory that Arrow and the C library keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def blobs(group: pa.Table) -> Iterator[bytes]:
+    """A group's blocks, one copied at a time."""
+    give_back()
+    return (x.as_py() for x in group.column("block"))
+
+
+def only(group: pa.Table, name: str) -> bytes:
+    """The one value of a column that isn't null."""
+    return next(x.as_py() for x in group.column(name) if x.is_valid)
+
+
+def home(words: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each word, given by the bits of its hash that a context has."""
+    return (mix(words) % np.uint64(buckets)).astype(np.int64)
+
+
 def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stream(texts: list[bytes], by_word: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word, context and text of every token, each text's end among them."""
     flat = Flat(texts, lower=True)
     a, b = flat.words()
     d = flat.docs(a)
     h = flat.hashes(a, b)
-    cls = (flat.hashes(np.maximum(a, b - SUFFIX), b, seed=1) % np.uint64(CONTEXTS - 1)).astype(np.uint32) + np.uint32(1)
+    cls = (flat.hashes(np.maximum(a, b - SUFFIX), b, seed=1) % np.uint64(CONTEXTS - 1))+ np.uint64(1)
+    if by_word:
+        cls = (h >> CUT << BY_CLASS) | cls
     n = len(texts)
     per = np.bincount(d, minlength=n)
     # token j of text i stands at j + i in the stream, its end after its last one
     place = np.arange(len(h)) + d
     ends = np.cumsum(per) + np.arange(n)
-    word, before = np.empty(len(h) + n, np.uint64), np.zeros(len(h) + n + 1, np.uint32)
+    word, before = np.empty(len(h) + n, np.uint64), np.zeros(len(h) + n + 1, np.uint64)
     word[place], word[ends] = h, END
     before[place + 1] = cls
     before[np.concatenate([[0], ends[:-1] + 1]) if n else []] = 0
     return word, before[:-1], np.repeat(np.arange(n), per + 1)
 
 
-def blocks(docs: DataFrame, buckets: int) -> DataFrame:
+def blocks(docs: DataFrame, buckets: int, by_word: bool = False) -> DataFrame:
     """(bucket, chunk, block): entries by bucket, and in bucket -1 each chunk's doc_ids and token counts."""
     small_batches(docs.sparkSession)
 
     def close(chunk: int, parts: list, ids: list, n_tokens: list) -> Iterator[pa.RecordBatch]:
-        word, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        word, ctx, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        known, held = np.array([i is not None for i in ids], "<u1"), np.array([held_out(i) for i in ids], bool)
+        ctxs, u = np.unique(ctx, return_inverse=True)
+        u = u.astype(np.uint32)
+        del ctx
         order = np.argsort(word)
-        new = np.concatenate([[True], word[order[1:]] != word[order[:-1]]])
-        types = word[order[new]]
-        bucket = (mix(types) % np.uint64(buckets)).astype(np.int64)
+        word = word[order]
+        new = np.concatenate([[True], word[1:] != word[:-1]])
+        types = word[new]
+        del word
+        bucket = home(types >> CUT, buckets)
         by = np.argsort(bucket, kind="stable")
         rank = np.empty(len(types), np.uint64)
         rank[by] = np.arange(len(types), dtype=np.uint64)
-        mine = np.empty(len(word), np.uint64)
+        mine = np.empty(len(order), np.uint64)
         mine[order] = rank[np.cumsum(new) - 1]
-        key = np.sort(mine << np.uint64(32) | rest)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        times = np.diff(np.append(first, len(key))).astype("<u4")
-        key = key[first]
+        del order
+        high, low = np.uint64(len(ctxs).bit_length() + 16), np.uint64(16)
+        if len(types).bit_length() + int(high) <= 64:
+            mine <<= high
+            mine |= u.astype(np.uint64) << low
+            mine |= doc
+            mine.sort()
+            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            n, mine = len(mine), mine[first]
+            w, u, doc = mine >> high, (mine & ((np.uint64(1) << high) - np.uint64(1))) >> low, (mine & np.uint64(0xFFFF)).astype("<u2")
+        else:  # one text of many millions of words
+            order = np.lexsort((doc, u, mine))
+            w, u, doc = mine[order], u[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (doc[1:] != doc[:-1])]))
+            n, w, u, doc = len(w), w[first], u[first], doc[first]
+        times = np.diff(np.append(first, n)).astype("<u4")
         types, bucket = types[by], bucket[by]
-        w = (key >> np.uint64(32)).astype(np.int64)
-        ctx, doc = (key >> np.uint64(16)).astype("<u2"), key.astype("<u2")
+        w, u = w.astype(np.int64), u.astype(np.int64)
+        held = held[doc]
         out: list[list] = [[], []]
         some = np.unique(bucket)
         lo, hi = np.searchsorted(bucket, some), np.searchsorted(bucket, some, "right")
         for k, a, b in zip(some.tolist(), lo.tolist(), hi.tolist(), strict=True):
             x, y = np.searchsorted(w, [a, b])
+            mine, at = np.unique(u[x:y], return_inverse=True)
+            kind = np.dtype(index_kind(len(mine)))
+            at = at.astype(kind) | held[x:y].astype(kind) << kind.type(kind.itemsize * 8 - 1)
             out[0].append(k)
-            out[1].append(pack(types[a:b].astype("<u8"), np.bincount(w[x:y] - a, minlength=b - a).astype("<u4"), ctx[x:y], doc[x:y], times[x:y]))
+            out[1].append(pack(types[a:b].astype("<u8"), np.bincount(w[x:y] - a, minlength=b - a).astype("<u4"), steps(ctxs[mine]), planes(at), doc[x:y], times[x:y]))
         out[0].append(-1)
-        known = np.array([i is not None for i in ids], "<u1")
         out[1].append(pack(np.array([i or 0 for i in ids], "<i8"), known, np.array(n_tokens, "<u4")))
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([chunk] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary())], names=["bucket", "chunk", "block"])
 
@@ -128,18 +217,18 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             texts, names = binary_list(batch.column("text")), batch.column("doc_id").to_pylist()
             for a, b in slices(texts):
-                word, ctx, d = stream(texts[a:b])
-                held = np.array([held_out(i) for i in names[a:b]], bool)
-                ctx = ctx | np.where(held[d], HELD, np.uint32(0))
-                parts.append((word, (ctx.astype(np.uint64) << np.uint64(16)) | (d + len(ids)).astype(np.uint64)))
+                word, ctx, d = stream(texts[a:b], by_word)
+                parts.append((word, ctx, (d + len(ids)).astype("<u2")))
                 ids += names[a:b]
                 n_tokens += np.bincount(d, minlength=b - a).tolist()
                 size += sum(map(len, texts[a:b]))
                 if size > CHUNK_BYTES or len(ids) > CHUNK_DOCS:
                     yield from close(chunk, parts, ids, n_tokens)
+                    give_back()
                     chunk, parts, ids, n_tokens, size = chunk + 1, [], [], [], 0
         if ids:
             yield from close(chunk, parts, ids, n_tokens)
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, chunk long, block binary")
 
@@ -171,50 +260,123 @@ def seated(c: np.ndarray, a: np.ndarray, discount: float, r: np.random.Generator
 STATE = "bucket int, words binary, cells binary, roots binary"
 
 
-def counted(table: DataFrame) -> DataFrame:
-    """The cells of each bucket from its training entries, with first guesses of the tables."""
+def counted(table: DataFrame, by_word: bool = False) -> DataFrame:
+    """The cells of each bucket from its training entries, with first guesses of the tables, and the cells by context as ``leaf``."""
 
     def run(group: pa.Table) -> pa.Table:
-        words, keys, times = [], [], []
-        for blob in group.column("block").to_pylist():
-            w, n, ctx, _, m = unpack(blob)
-            train = (ctx & int(HELD)) == 0
-            words.append(np.repeat(w, n)[train])
-            keys.append(ctx[train])
-            times.append(m[train])
-        w, ctx, m = np.concatenate(words), np.concatenate(keys), np.concatenate(times)
-        types, place = np.unique(w, return_inverse=True)
-        cell = place.astype(np.int64) * CONTEXTS + ctx
-        order = np.argsort(cell, kind="stable")
-        cell, m = cell[order], m[order]
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        c = np.add.reduceat(m.astype(np.int64), first) if len(cell) else np.zeros(0, np.int64)
-        cell = cell[first]
+        words, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for blob in blobs(group):
+            w, n, ctxs, at, held, *_ = entries(blob)
+            words.append(w[np.unique(np.repeat(np.arange(len(w)), n)[~held])])
+            keys.append(ctxs[np.bincount(at[~held], minlength=len(ctxs)) > 0])
+        types, ctxs = np.unique(np.concatenate(words)), np.unique(np.concatenate(keys))
+        wide = max(1, len(ctxs))
+
+        def of_block(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+            """Cells of a block and their customers; a block's entries are in ascending order of words and contexts."""
+            w, n, own, at, held, _, m = entries(blob)
+            cell = np.repeat(np.searchsorted(types, w) * wide, n)[~held] + np.searchsorted(ctxs, own)[at[~held]]
+            if not len(cell):
+                return cell, np.zeros(0, "<u4")
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            return cell[first], np.add.reduceat(m[~held], first)
+
+        def cells(cell: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(cell, kind="stable")
+            cell, m = cell[order], m[order]
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+            return cell[first], np.add.reduceat(m.astype(np.int64), first) if len(cell) else np.zeros(0, np.int64)
+
+        cell, c = cells(*(np.concatenate(x) for x in zip(*map(of_block, blobs(group)), strict=True)))
+        place, u = cell // wide, cell % wide
+        tokens = np.bincount(place, weights=c, minlength=len(types)).astype("<u8")
+        if by_word:
+            leaf = pack(np.bincount(place, minlength=len(types)).astype("<u4"), planes(u.astype("<u4")), c.astype("<u4"), steps(ctxs))
+            sums = [len(c), (c == 1).sum(), (c == 2).sum(), (ctxs[u] == 0).sum(), tokens[types == END].sum()]
+            c = np.ones(len(c), np.int64)
+        else:
+            leaf, sums = pack(*[np.zeros(0, k) for k in ("<u4", "<u1", "<u4", "<u1")]), [0.0] * 5
+        cell, c = cells(place * CONTEXTS + (ctxs[u] % np.uint64(CONTEXTS)).astype(np.int64), c)
         per = np.bincount(cell // CONTEXTS, minlength=len(types))
         t = np.maximum(1, np.sqrt(c)).astype("<u4")
-        raw = pack(types.astype("<u8"), per.astype("<u4"), (cell % CONTEXTS).astype("<u2"), c.astype("<u4"))
+        raw = pack(types.astype("<u8"), per.astype("<u4"), (cell % CONTEXTS).astype("<u2"), c.astype("<u4"), tokens, np.array(sums, "<f8"))
         zero = np.zeros(len(cell), "<f4")
-        return pa.table([pa.array([group.column("bucket")[0].as_py()], pa.int32()), pa.array([raw], pa.binary()), pa.array([pack(t, zero)], pa.binary()), pa.array([pack(np.zeros(0, "<f8"))], pa.binary())], names=["bucket", "words", "cells", "roots"])
+        give_back()
+        return pa.table(
+            [pa.array([group.column("bucket")[0].as_py()], pa.int32()), pa.array([raw], pa.binary()), pa.array([pack(t, zero)], pa.binary()), pa.array([pack(np.zeros(0, "<f8"))], pa.binary()), pa.array([leaf], pa.binary())],
+            names=["bucket", "words", "cells", "roots", "leaf"],
+        )
+
+    return table.where("bucket >= 0").groupBy("bucket").applyInArrow(run, f"{STATE}, leaf binary")
+
+
+def dealt(ctxs: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The contexts but the start, by the bucket of their own tokens."""
+    some = np.flatnonzero(ctxs)
+    to = home(ctxs[some] >> BY_CLASS, buckets)
+    by = np.argsort(to, kind="stable")
+    names, first = np.unique(to[by], return_index=True)
+    return list(zip(names.tolist(), np.split(some[by], first[1:]), strict=True)) if len(some) else []
+
 
-    return table.where("bucket >= 0").groupBy("bucket").applyInArrow(run, STATE)
+def followed(leaf: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, leaf, after): with the distinct followers of each context of ``leaf``, and of each that is a word of the bucket."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("leaf").to_pylist(), strict=True):
+                _, u, _, ctxs = unpack(blob)
+                ctxs, u = of_steps(ctxs), of_planes(u, "<u4")
+                n = np.bincount(u, minlength=len(ctxs)).astype("<u4")
+                parts = dealt(ctxs, buckets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in parts], pa.int32()), pa.array([bucket] * len(parts), pa.int32()), pa.array([pack(steps(ctxs[x]), planes(n[x])) for _, x in parts], pa.binary())],
+                    names=["home", "asker", "block"],
+                )
+
+    def answer(group: pa.Table) -> pa.Table:
+        asked = [unpack(x) for x in group.column("block").to_pylist()]
+        names = [of_steps(x) >> BY_CLASS for x, _ in asked]
+        words, at = np.unique(np.concatenate(names), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([of_planes(x, "<u4") for _, x in asked])).astype("<u4")
+        parts = np.split(n[at], np.cumsum([len(x) for x in names])[:-1])
+        own = group.column("home")[0].as_py()
+        return pa.table(
+            [pa.array([*group.column("asker").to_pylist(), own], pa.int32()), pa.array([own] * len(parts) + [-1], pa.int32()), pa.array([*(pack(planes(x)) for x in parts), pack(steps(words), planes(n))], pa.binary())],
+            names=["bucket", "home", "block"],
+        )
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket = (left if left.num_rows else right).column("bucket").slice(0, 1)
+        blob = left.column("leaf")[0].as_py()
+        ctxs = of_steps(unpack(blob)[3])
+        got = dict(zip(right.column("home").to_pylist(), right.column("block").to_pylist(), strict=True))
+        after = np.zeros(len(ctxs), "<u4")
+        for k, x in dealt(ctxs, buckets):
+            after[x] = of_planes(unpack(got[k])[0], "<u4")
+        own = unpack(got[-1]) if -1 in got else [np.zeros(0, "<u1")] * 2
+        return pa.table([bucket, pa.array([blob], pa.binary()), pa.array([pack(planes(after), *own)], pa.binary())], names=["bucket", "leaf", "after"])
+
+    asked = leaf.mapInArrow(ask, "home int, asker int, block binary")
+    answers = asked.groupBy("home").applyInArrow(answer, "bucket int, home int, block binary")
+    return leaf.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(joined, "bucket int, leaf binary, after binary")
 
 
 def totals(state: DataFrame) -> dict:
-    """Sums over all buckets: customers and tables by context, and counts of counts."""
+    """Sums over all buckets: customers and tables by class, and counts of counts."""
 
-    size = 2 * CONTEXTS + 8
+    size = 2 * CONTEXTS + 13
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
         for batch in batches:
             for words, cells in zip(batch.column("words").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                types, per, ctx, c = unpack(words)
+                types, per, ctx, c, tokens, leaf = unpack(words)
                 t = unpack(cells)[0]
-                place = np.repeat(np.arange(len(types)), per)
-                by_word, root = np.bincount(place, weights=c, minlength=len(types)), np.bincount(place, weights=t, minlength=len(types))
+                root = np.bincount(np.repeat(np.arange(len(types)), per), weights=t, minlength=len(types))
                 out += np.concatenate([
                     np.bincount(ctx, weights=c, minlength=CONTEXTS), np.bincount(ctx, weights=t, minlength=CONTEXTS),
-                    [len(types), by_word.sum(), (by_word == 1).sum(), root.sum(), (c == 1).sum(), (c == 2).sum(), (root == 1).sum(), (root == 2).sum()],
+                    [len(types), tokens.sum(), (tokens == 1).sum(), root.sum(), (c == 1).sum(), (c == 2).sum(), (root == 1).sum(), (root == 2).sum()], leaf,
                 ])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["slot", "sums"])
 
@@ -226,17 +388,18 @@ def totals(state: DataFrame) -> dict:
     fields = "slot int, sums binary"
     rows = state.select("words", "cells").mapInArrow(run, fields).groupBy("slot").applyInArrow(add, fields).collect()
     x = sum((np.frombuffer(r["sums"], "<f8") for r in rows), np.zeros(size))
-    names = ("types", "tokens", "once", "root_customers", "cells1", "cells2", "roots1", "roots2")
+    names = ("types", "tokens", "once", "root_customers", "cells1", "cells2", "roots1", "roots2", "leaves", "leaves1", "leaves2", "start_types", "texts")
     return {"customers": x[:CONTEXTS], "tables": x[CONTEXTS : 2 * CONTEXTS], **dict(zip(names, x[2 * CONTEXTS :].tolist(), strict=True))}
 
 
-def discounts(s: dict) -> tuple[float, float]:
-    """Of the contexts and of their parent, by n1 / (n1 + 2 n2)."""
+def discount(one: float, two: float) -> float:
+    """By n1 / (n1 + 2 n2)."""
+    return min(0.95, max(0.05, one / max(1.0, one + 2 * two)))
 
-    def of(one: float, two: float) -> float:
-        return min(0.95, max(0.05, one / max(1.0, one + 2 * two)))
 
-    return of(s["cells1"], s["cells2"]), of(s["roots1"], s["roots2"])
+def discounts(s: dict) -> tuple[float, float]:
+    """Of the classes and of their parent."""
+    return discount(s["cells1"], s["cells2"]), discount(s["roots1"], s["roots2"])
 
 
 def base_of(s: dict, d1: float, d0: float, root_tables: float) -> tuple[float, float]:
@@ -246,6 +409,8 @@ def base_of(s: dict, d1: float, d0: float, root_tables: float) -> tuple[float, f
     as far as a base can give it.
     """
     escape = ((STRENGTH + d1 * s["tables"].sum()) / (STRENGTH + s["customers"].sum())) * ((STRENGTH + d0 * root_tables) / (STRENGTH + s["root_customers"]))
+    if s["leaves"]:
+        escape *= (STRENGTH + discount(s["leaves1"], s["leaves2"]) * s["leaves"]) / (STRENGTH + s["tokens"])
     unknown = min(0.95, max(1.0 / (s["types"] + 1), (s["once"] / max(1.0, s["tokens"])) / max(escape, 1e-12)))
     return (1 - unknown) / max(1.0, s["types"]), unknown
 
@@ -260,7 +425,7 @@ def round_of(state: DataFrame, s: dict, seed: int, keep: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, words, cells, roots in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "cells", "roots")), strict=True):
-                types, per, ctx, c = unpack(words)
+                types, per, ctx, c, *_ = unpack(words)
                 t, mean = unpack(cells)
                 r = np.random.default_rng([seed, bucket])
                 place = np.repeat(np.arange(len(types)), per)
@@ -288,7 +453,9 @@ def sampled(state: DataFrame) -> tuple[DataFrame, list[dict]]:
     drawn = []
     for k in range(BURN + SAMPLES):
         keep, before = k >= BURN, s
-        state = written(round_of(state, s, k, keep), f"seating-{k}")
+        last, state = state, written(round_of(state, s, k, keep), f"seating-{k}")
+        if k:
+            dropped(state.sparkSession, last)
         root_tables = state.agg(F.sum("root_tables")).first()[0] or 0.0
         s = totals(state) | {"root_tables": root_tables}
         if keep:
@@ -296,7 +463,7 @@ def sampled(state: DataFrame) -> tuple[DataFrame, list[dict]]:
     return state.select("bucket", "words", "cells", "roots"), drawn
 
 
-def scored(table: DataFrame, state: DataFrame, drawn: list[dict]) -> DataFrame:
+def scored(table: DataFrame, state: DataFrame, drawn: list[dict], by_word: bool = False) -> DataFrame:
     """Log10 probabilities summed by document."""
     s0 = drawn[0]
     n, v = s0["tokens"], s0["types"]
@@ -313,22 +480,43 @@ def scored(table: DataFrame, state: DataFrame, drawn: list[dict]) -> DataFrame:
         p_unknown.append((STRENGTH + d0 * s["root_tables_now"]) * g_unknown / over[-1])
     share = np.stack(share)
     unknown = np.log10((share * np.array(p_unknown)[:, None]).mean(0))
+    d2 = discount(s0["leaves1"], s0["leaves2"])
+    lam_start = np.log10((STRENGTH + d2 * s0["start_types"]) / (STRENGTH + s0["texts"])) if by_word else 0.0
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if right.num_rows:
-            types, per, k, c = unpack(right.column("words")[0].as_py())
-            _, mean_t = unpack(right.column("cells")[0].as_py())
-            roots = np.stack(unpack(right.column("roots")[0].as_py()))
-            place = np.repeat(np.arange(len(types)), per)
-            cell, by_word = place * CONTEXTS + k, np.bincount(place, weights=c, minlength=len(types))
-            base = np.log10(by_word + 0.5) - floor
+            types, per, k, c, tokens, _ = unpack(only(right, "words"))
+            _, mean_t = unpack(only(right, "cells"))
+            roots = np.stack(unpack(only(right, "roots")))
+            cell = np.repeat(np.arange(len(types)), per) * CONTEXTS + k
+            lam = np.zeros(len(types))
+            if by_word:
+                n_leaf, u, c2, ctxs = unpack(only(right, "leaf"))
+                after, heads, n_after = unpack(only(right, "after"))
+                ctxs, after = of_steps(ctxs), of_planes(after, "<u4").astype(float)
+                after[ctxs == 0] = s0["start_types"]
+                u = of_planes(u, "<u4")
+                leaf = np.repeat(np.arange(len(types)) * max(1, len(ctxs)), n_leaf)
+                leaf += u
+                # beside the parent's probability, with the context's share for its parent as a factor of both
+                extra = (STRENGTH + d2 * after)[u]
+                np.divide(c2 - d2, extra, out=extra)
+                del u, c2, after
+                # that share, of each word as a context
+                names, at = np.unique(types >> CUT, return_inverse=True)
+                customers = np.bincount(at, weights=tokens, minlength=len(names))
+                tables = np.zeros(len(names))
+                tables[np.searchsorted(names, of_steps(heads))] = of_planes(n_after, "<u4")
+                lam = np.log10((STRENGTH + d2 * tables) / (STRENGTH + customers))[at]
+                lam[types == END] = 0
+            base = np.log10(tokens + 0.5) - floor
         else:
             types, cell, c = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
         none = np.log10(0.5) - floor
-        for chunk, blob in zip(left.column("chunk").to_pylist(), left.column("block").to_pylist(), strict=True):
-            w, n_w, ctx, doc, times = unpack(blob)
-            ctx = (ctx & 0x7FFF).astype(np.int64)
+        for chunk, blob in zip(left.column("chunk").to_pylist(), blobs(left), strict=True):
+            w, n_w, own, which, _, doc, times = entries(blob)
+            ctx = (own % np.uint64(CONTEXTS)).astype(np.int64)[which]
             at = np.searchsorted(types, w)
             known = at < len(types)
             known[known] = types[at[known]] == w[known]
@@ -343,7 +531,17 @@ def scored(table: DataFrame, state: DataFrame, drawn: list[dict]) -> DataFrame:
                 hit = j < len(cell)
                 hit[hit] = cell[j[hit]] == key[hit]
                 p[hit] += (c[j[hit]] - d1 * mean_t[j[hit]]) / below[x[hit]]
-                score[known], plain[known] = np.log10(p), base[i]
+                if by_word and len(leaf):
+                    y = np.searchsorted(ctxs, own)
+                    there = y < len(ctxs)
+                    there[there] = ctxs[y[there]] == own[there]
+                    some = np.flatnonzero(there[which[known]])
+                    key = i[some] * len(ctxs) + y[which[known][some]]
+                    j = np.searchsorted(leaf, key)
+                    hit = j < len(leaf)
+                    hit[hit] = leaf[j[hit]] == key[hit]
+                    p[some[hit]] += extra[j[hit]]
+                score[known], plain[known] = np.log10(p) + lam[i], base[i]
             docs = np.unique(doc)
             m = times.astype(float)
             sums = [np.bincount(doc, weights=y)[docs] for y in (score * m, plain * m, known * m)]
@@ -360,6 +558,7 @@ def scored(table: DataFrame, state: DataFrame, drawn: list[dict]) -> DataFrame:
         rows = sorted(zip(group.column("bucket").to_pylist(), group.column("block").to_pylist(), strict=True))
         ids, there, n_tokens = unpack(rows[0][1])
         score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        score += lam_start
         for _, blob in rows[1:]:
             docs, a, b, k = unpack(blob)
             score[docs] += a
@@ -373,13 +572,22 @@ def scored(table: DataFrame, state: DataFrame, drawn: list[dict]) -> DataFrame:
     return parts.groupBy("chunk").applyInArrow(gather, held_fields)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Learns from the training folds of ``docs`` and scores all its documents."""
+def score(docs: DataFrame, by_word: bool = False) -> DataFrame:
+    """Learns from the training folds of ``docs`` and scores all its documents; ``by_word`` gives each token before its own context."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     name = f"lm_blocks_{uuid.uuid4().hex}"
     # bucketed by bucket, so that later steps read a bucket in one task without shuffling the blocks again
-    blocks(docs, buckets).repartition(buckets, "bucket").write.format("parquet").bucketBy(buckets, "bucket").option("path", new_path(spark, name)).saveAsTable(name)
+    # its shuffle files are as large as the table and aren't needed once it's written
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        blocks(docs, buckets, by_word).repartition(buckets, "bucket").write.format("parquet").bucketBy(buckets, "bucket").option("path", new_path(spark, name)).saveAsTable(name)
+    finally:
+        spark.conf.set(CLEANUP, before)
     table = spark.table(name)
-    state, drawn = sampled(written(counted(table), "cells"))
-    return scored(table, state, drawn)
+    cells = written(counted(table, by_word), "cells")
+    state, drawn = sampled(cells.select("bucket", "words", "cells", "roots"))
+    if by_word:
+        state = state.unionByName(followed(cells.select("bucket", "leaf"), buckets), allowMissingColumns=True)
+    return scored(table, state, drawn, by_word)

@@ -22,7 +22,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(documents(spark, sf_dir))
+    return lm_score.score(documents(spark, sf_dir), by_word=True)
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
