@@ -11,8 +11,8 @@ With factor 1 that is the triangle inequality and the search is exact; a smaller
 Queries are searched in blocks, by numpy, through every shard: a shard's rows come to its task sorted
 before the query blocks, so a task holds one shard and one block at a time.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part.  Ties go to the smaller vec_id; rows of equal vec_id are one candidate (any of them).  An empty
+Vectors of each length have shards of their own and are neighbours of each other only.  Vectors that are
+null, zero, or hold null or non-finite components take no part.  Ties go to the smaller vec_id; rows of equal vec_id are one candidate (any of them).  An empty
 table, or one without queries, gives no rows.
 """
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,18 +124,21 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = FACTOR, i
     """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` (a condition on vec_id) holds."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    sizes = sorted(((-r["count"], -r["n"]) for r in rows.groupBy(F.size("v").alias("n")).count().collect()))  # a row for each length that occurs
+    sizes = sorted((r["n"], r["count"]) for r in rows.groupBy(F.size("v").alias("n")).count().collect())  # a row for each length that occurs
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total = -sizes[0][1], -sizes[0][0]
-    rows = rows.where(F.size("v") == dim).select("vec_id", F.col("v").cast("array<double>").alias("v"))
-    shards = max(1, -(-total // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")
+    kinds, shards = [], 0
+    for n, count in sizes:
+        own = -(-count // SHARD_ROWS)
+        kinds.append((n, shards, own, -(-count // (20 * BLOCK))))
+        shards += own
+    kinds = F.broadcast(spark.createDataFrame(kinds, "n int, first int, shards int, blocks int"))
+    rows = rows.withColumn("n", F.size("v")).join(kinds, "n").select("vec_id", "v", "first", "shards", "blocks")
+    shard = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("shards"))).cast("int").alias("shard")
     candidates = rows.select(shard, F.lit(-1).alias("block"), "vec_id", "v")
-    blocks = max(1, -(-total // (20 * BLOCK)))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block")
-    asked = rows.where(is_query).dropDuplicates(["vec_id"]).select(block, "vec_id", "v")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "vec_id", "v")
+    block = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("blocks")).cast("int").alias("block")
+    asked = rows.where(is_query).dropDuplicates(["vec_id"])
+    asked = asked.select(F.explode(F.sequence("first", F.expr("first + shards - 1"))).alias("shard"), block, "vec_id", "v")
     dealt = candidates.unionByName(asked).repartition(max(shards, min(shards * 2, partitions(spark))), "shard").sortWithinPartitions("shard", "block", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +165,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = FACTOR, i
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("shard", "block")], 1)
             names = batch.column("vec_id").to_numpy()
-            values = batch.column("v").flatten().to_numpy().reshape(-1, dim)
+            values, at = batch.column("v").flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("v")).to_numpy())])
             cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, b in zip(cut, cut[1:], strict=False):
                 if a == b:
@@ -172,7 +176,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = FACTOR, i
                     ids, vs = [], []
                 now = key
                 ids.append(names[a:b])
-                vs.append(values[a:b])
+                vs.append(values[at[a] : at[b]].reshape(b - a, -1))
         if now is not None:
             yield from finished(now, ids, vs) or ()
 

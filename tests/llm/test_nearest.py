@@ -54,3 +54,13 @@ def test_recall_of_the_default_factor():
     dots[ids[:100], ids[:100]] = -9
     want = np.argsort(-dots, axis=1)[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, want)]) >= 0.95
+
+
+def test_each_length_among_its_own_kind(spark, rows, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 20)
+    monkeypatch.setattr(vptree, "LEAF", 8)
+    r = np.random.default_rng(6)
+    short = [(k, r.normal(size=3).round(2).tolist()) for k in range(1000, 1050)]
+    got = vptree.nearest(spark.createDataFrame(rows + short, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, k=6, factor=1.0).collect()
+    near = {i: sorted((-float(np.einsum("i,i->", q, x)), j) for j, x in short if j != i)[:6] for i, q in short if i % 5 == 0}
+    assert {(x.query_id, x.rank, x.vec_id) for x in got} == brute(rows, 6) | {(i, n + 1, j) for i, found in near.items() for n, (_, j) in enumerate(found)}
