@@ -1,28 +1,23 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Every token is a customer of the restaurant of its context, the whole token before it (``by_word``; known by
-48 bits of its hash) or the text's start.  The parent of a context is its class (CONTEXTS classes: a hash of
-the last bytes; class 0 at a text's start), the classes' restaurants share one parent, the unigram
-restaurant, and its dishes come from a base over the V training types and one unknown type.  Without
-``by_word`` the classes are the contexts.
-
-In a context's restaurant all customers of one dish share a table (interpolated Kneser-Ney), so that its
-tables are its distinct followers.  In the classes' and the unigram restaurant seating is sampled by Gibbs:
-in each round every restaurant seats its customers anew, given its parent's predictive probabilities and the
-other totals of the round before; a customer opens a table with probability proportional to (strength +
-discount * tables) * parent(word).  After BURN rounds, each round is a sample, and scores use predictive
-probabilities averaged over the samples.
-
-Layout: tokens are dealt by a hash of the word, so that one task has all a word's cells (word, context),
-its cells by class and its place in the parent.  Chunks of documents send each bucket one compressed block
-of (word, context, document, count) entries; counts and scores both come from these blocks, the scores
-going back as sums by document.  Followers of a context are counted where its cells are, summed where the
-context's own tokens are, and sent back.  A context's share for its parent is a factor of each probability
-that follows it, so it is scored with the context's own tokens.  Only totals by class go to the driver.
-Nothing else is bounded: counts cover all training documents.
-
-Null and empty texts are one token, the end.  Rows of equal doc_id are scored one by one; a null doc_id
-is learnt from.  An empty table gives no rows.
+Every token is a customer of the restaurant of its context, the whole token before it or the text's start.  All
+contexts share one parent, the unigram restaurant, whose customers are their tables and whose dishes come from a base
+over the V training types and one unknown type.  Seating is sampled by Gibbs on the present seating (``seating``): in
+each round every customer of every context is taken out and seated again, then the unigram restaurant gets the
+customers that have come or gone.  The first of BURN rounds seats everybody; each of SAMPLES rounds after them is a
+sample, in which the unigram restaurant reseats all of its own customers too.  Each restaurant's predictive
+probabilities are averaged over the samples.
+
+Layout: tokens are dealt by a hash of the pair (word before, word), so a frequent word or context is spread over all
+buckets.  Chunks of documents send each bucket one compressed block of their tokens; cells and scores both come
+from these blocks.  What a context or a word has in all buckets together is summed at its home, a bucket given by its
+hash, which also has the word's seating in the unigram restaurant: in each round every bucket sends each home one block
+of sums and gets one back.  Inside a bucket a round sees every change at once; changes of other buckets are seen in the
+next round, as in distributed Gibbs sampling of topic models (Newman et al., 2009).  Only sums of whole counts go to the
+driver.  Nothing else is bounded: counts cover all training documents, and grow with them.
+
+Null and empty texts are one token, the end.  Rows of equal doc_id are scored one by one; a null doc_id is learnt from.
+An empty table gives no rows.  Words are known by 56 bits of their hash.
 """
 
 from __future__ import annotations
@@ -32,7 +27,8 @@ import ctypes
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,22 +37,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.kernel import Flat, binary_list, mix, slices
-from chronoframe.llm.storage import dropped, new_path, partitions, small_batches, written
+from chronoframe.llm.kernel import Flat, binary_list, combine, mix, ragged, slices
+from chronoframe.llm.seating import Seats
+from chronoframe.llm.storage import delete, dropped, new_path, partitions, small_batches, written
 
-#: Classes of contexts.
-CONTEXTS = 256
-#: Bytes at the end of a token that make its class.
-SUFFIX = 3
-END = np.uint64(0xE0D0E0D0E0D0E0D1)
-#: A context is the upper 48 bits of its token's hash, then its class; 0 is a text's start.
-CUT, BY_CLASS = np.uint64(16), np.uint64(8)
+#: A key is the upper 56 bits of a word's hash; 0 is a text's start.
+CUT = np.uint64(8)
+START, END = np.uint64(0), np.uint64(0xE0D0E0D0E0D0E0)
 BURN, SAMPLES = 2, 3
 STRENGTH = 1.0
 CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 60_000
-#: Customers seated one by one; later ones are seated in blocks that double.
-ONE_BY_ONE = 48
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Kinds of rows: what a bucket and a home always keep, what they keep for the next round, and what they send.
+TEXT, IDS, CELLS, KEYS, HOME, SEATS, ROOTS, UP, DOWN = range(9)
+ROW = "bucket int, kind int, frm long, block binary, sums array<double>"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -96,17 +90,16 @@ def of_steps(x: np.ndarray) -> np.ndarray:
 
 
 def index_kind(n: int) -> str:
-    """Of an index under n and a bit over it."""
-    return "<u2" if n <= 1 << 15 else "<u4"
+    return "<u2" if n <= 1 << 16 else "<u4"
 
 
-def entries(blob: bytes) -> tuple[np.ndarray, ...]:
-    """Words, their entries, contexts; by entry: index of the context, whether held out, document, count."""
-    w, n_w, ctxs, at, doc, times = unpack(blob)
-    ctxs = of_steps(ctxs)
-    at = of_planes(at, index_kind(len(ctxs)))
-    top = at.itemsize * 8 - 1
-    return w, n_w, ctxs, (at & at.dtype.type((1 << top) - 1)).astype(np.int64), (at >> at.dtype.type(top)).astype(bool), doc, times
+def counts(x: np.ndarray) -> np.ndarray:
+    """Whole numbers, 64 bits each, as planes: those that aren't in use cost next to nothing."""
+    return planes(x.astype("<u8"))
+
+
+def of_counts(x: np.ndarray) -> np.ndarray:
+    return of_planes(x, "<u8").astype(np.int64)
 
 
 def give_back() -> None:
@@ -116,478 +109,482 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def blobs(group: pa.Table) -> Iterator[bytes]:
-    """A group's blocks, one copied at a time."""
-    give_back()
-    return (x.as_py() for x in group.column("block"))
-
+def home(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that sums up each key."""
+    return (mix(keys) % np.uint64(buckets)).astype(np.int64)
 
-def only(group: pa.Table, name: str) -> bytes:
-    """The one value of a column that isn't null."""
-    return next(x.as_py() for x in group.column(name) if x.is_valid)
 
-
-def home(words: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each word, given by the bits of its hash that a context has."""
-    return (mix(words) % np.uint64(buckets)).astype(np.int64)
+def dealt(keys: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """The places of the keys of each home, ascending."""
+    to = home(keys, buckets)
+    order = np.argsort(to, kind="stable")
+    return np.split(order, np.searchsorted(to[order], np.arange(1, buckets)))
 
 
 def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def stream(texts: list[bytes], by_word: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, context and text of every token, each text's end among them."""
+def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all tokens, each text's end among them, and how many each text has."""
     flat = Flat(texts, lower=True)
     a, b = flat.words()
     d = flat.docs(a)
-    h = flat.hashes(a, b)
-    cls = (flat.hashes(np.maximum(a, b - SUFFIX), b, seed=1) % np.uint64(CONTEXTS - 1))+ np.uint64(1)
-    if by_word:
-        cls = (h >> CUT << BY_CLASS) | cls
-    n = len(texts)
-    per = np.bincount(d, minlength=n)
-    # token j of text i stands at j + i in the stream, its end after its last one
-    place = np.arange(len(h)) + d
-    ends = np.cumsum(per) + np.arange(n)
-    word, before = np.empty(len(h) + n, np.uint64), np.zeros(len(h) + n + 1, np.uint64)
-    word[place], word[ends] = h, END
-    before[place + 1] = cls
-    before[np.concatenate([[0], ends[:-1] + 1]) if n else []] = 0
-    return word, before[:-1], np.repeat(np.arange(n), per + 1)
-
-
-def blocks(docs: DataFrame, buckets: int, by_word: bool = False) -> DataFrame:
-    """(bucket, chunk, block): entries by bucket, and in bucket -1 each chunk's doc_ids and token counts."""
-    small_batches(docs.sparkSession)
+    per = np.bincount(d, minlength=len(texts))
+    out = np.full(len(a) + len(texts), END)
+    # token j of text i stands at j + i, its end after its last one
+    out[np.arange(len(a)) + d] = np.maximum(flat.hashes(a, b) >> CUT, np.uint64(1))
+    return out, per + 1
+
+
+def blocks_of(keys: np.ndarray, per: np.ndarray, held: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """The tokens of each bucket: contexts, words, by token the place of both, tokens by text, and the held-out texts."""
+    types, at = np.unique(np.concatenate([keys, [START]]), return_inverse=True)
+    at = at[:-1].astype(np.uint32)
+    before = np.zeros_like(at)
+    before[1:] = at[:-1]
+    before[np.cumsum(per) - per] = 0
+    with np.errstate(over="ignore"):
+        bucket = (combine(types[before], types[at]) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable").astype(np.uint32)
+    bucket = bucket[order]
+    some = np.flatnonzero(np.bincount(bucket, minlength=1))
+    begin, end = np.searchsorted(bucket, some), np.searchsorted(bucket, some, "right")
+    del bucket
+    text = np.repeat(np.arange(len(per), dtype=np.uint32), per)
+    mark, place = np.zeros(len(types), bool), np.zeros(len(types), np.uint32)
+
+    def local(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mark[x] = True
+        found = np.flatnonzero(mark)
+        mark[found] = False
+        place[found] = np.arange(len(found), dtype=np.uint32)
+        return types[found], place[x].astype(index_kind(len(found)))
+
+    flags = np.packbits(held)
+    for k, a, b in zip(some.tolist(), begin.tolist(), end.tolist(), strict=True):
+        mine = order[a:b]
+        u, iu = local(before[mine])
+        w, iw = local(at[mine])
+        yield k, pack(steps(u), steps(w), planes(iu), planes(iw), planes(np.bincount(text[mine], minlength=len(per)).astype("<u4")), flags)
+
+
+def tokens_of(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Contexts, words, by token the place of both, tokens by text, and whether each text is held out."""
+    u, w, iu, iw, per, flags = unpack(blob)
+    u, w, per = of_steps(u), of_steps(w), of_planes(per, "<u4").astype(np.int64)
+    return u, w, of_planes(iu, index_kind(len(u))), of_planes(iw, index_kind(len(w))), per, np.unpackbits(flags, count=len(per)).astype(bool)
+
+
+def merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys and their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(keys) else n
+
+
+class Cells(NamedTuple):
+    """A bucket's contexts and words, and its training cells by ascending (context, word), with their customers."""
+
+    u: np.ndarray
+    w: np.ndarray
+    iu: np.ndarray
+    iw: np.ndarray
+    c: np.ndarray
+
+    def pack(self) -> bytes:
+        return pack(steps(self.u), steps(self.w), planes(np.bincount(self.iu, minlength=len(self.u)).astype("<u4")), planes(self.iw.astype("<u4")), counts(self.c))
+
+    @staticmethod
+    def of(blob: bytes) -> Cells:
+        u, w, per, iw, c = unpack(blob)
+        u = of_steps(u)
+        return Cells(u, of_steps(w), np.repeat(np.arange(len(u)), of_planes(per, "<u4")), of_planes(iw, "<u4").astype(np.int64), of_counts(c))
+
+
+def cells_of(blobs: list[bytes]) -> Cells:
+    us, ws = zip(*(map(of_steps, unpack(x)[:2]) for x in blobs), strict=True)
+    u, w = np.unique(np.concatenate(us)), np.unique(np.concatenate(ws))
+    parts = []
+    for blob in blobs:
+        own_u, own_w, iu, iw, per, held = tokens_of(blob)
+        keep = np.repeat(~held, per)
+        parts.append(np.unique((np.searchsorted(u, own_u) * len(w))[iu[keep]] + np.searchsorted(w, own_w)[iw[keep]], return_counts=True))
+    key, c = merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return Cells(u, w, key // len(w), key % len(w), c)
+
+
+def key_blocks(x: Cells, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """For each home its contexts and words among the bucket's, with their customers and cells (a table each, at first)."""
+    nu, nw = len(x.u), len(x.w)
+    cu, cw = (np.bincount(i, weights=x.c, minlength=n) for i, n in ((x.iu, nu), (x.iw, nw)))
+    tu, tw = np.bincount(x.iu, minlength=nu), np.bincount(x.iw, minlength=nw)
+    for k, (i, j) in enumerate(zip(dealt(x.u, buckets), dealt(x.w, buckets), strict=True)):
+        if len(i) or len(j):
+            yield k, pack(steps(x.u[i]), counts(cu[i]), steps(x.w[j]), counts(cw[j]), counts(tu[i]), counts(tw[j]))
+
+
+class Home(NamedTuple):
+    """Customers of the contexts and words whose home it is, and which of them each bucket has."""
+
+    cu: np.ndarray
+    cw: np.ndarray
+    of: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def pack(self) -> bytes:
+        names = sorted(self.of)
+        return pack(counts(self.cu), counts(self.cw), np.array(names, "<i8"), *(steps(x.astype(np.uint64)) for k in names for x in self.of[k]))
+
+    @staticmethod
+    def read(blob: bytes) -> Home:
+        cu, cw, names, *lists = unpack(blob)
+        lists = [of_steps(x).astype(np.int64) for x in lists]
+        return Home(of_counts(cu), of_counts(cw), {k: (i, j) for k, i, j in zip(names.tolist(), lists[::2], lists[1::2], strict=True)})
+
+
+def home_of(blobs: dict[int, bytes]) -> tuple[Home, list[float]]:
+    """A home from the key blocks of all buckets; and types, tokens, types of one token, cells, types of one and of two cells."""
+    raw = {k: unpack(x) for k, x in blobs.items()}
+    (u, cu), (w, cw) = (merged(np.concatenate([of_steps(x[i]) for x in raw.values()]), np.concatenate([of_counts(x[i + 1]) for x in raw.values()])) for i in (0, 2))
+    made = Home(cu, cw, {k: (np.searchsorted(u, of_steps(x[0])), np.searchsorted(w, of_steps(x[2]))) for k, x in raw.items()})
+    n = np.zeros(len(w), np.int64)
+    for k, x in raw.items():
+        n[made.of[k][1]] += of_counts(x[5])
+    return made, [float(v) for v in ((cw > 0).sum(), cw.sum(), (cw == 1).sum(), n.sum(), (n == 1).sum(), (n == 2).sum())]
+
+
+class Model(NamedTuple):
+    """What all buckets share: discounts of the contexts and of the unigrams, base probabilities, and this round's totals of tables."""
+
+    d1: float
+    d0: float
+    known: float
+    unknown: float
+    types: float
+    tokens: float
+    tables: float
+    roots: float
+
 
-    def close(chunk: int, parts: list, ids: list, n_tokens: list) -> Iterator[pa.RecordBatch]:
-        word, ctx, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        known, held = np.array([i is not None for i in ids], "<u1"), np.array([held_out(i) for i in ids], bool)
-        ctxs, u = np.unique(ctx, return_inverse=True)
-        u = u.astype(np.uint32)
-        del ctx
-        order = np.argsort(word)
-        word = word[order]
-        new = np.concatenate([[True], word[1:] != word[:-1]])
-        types = word[new]
-        del word
-        bucket = home(types >> CUT, buckets)
-        by = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(types), np.uint64)
-        rank[by] = np.arange(len(types), dtype=np.uint64)
-        mine = np.empty(len(order), np.uint64)
-        mine[order] = rank[np.cumsum(new) - 1]
-        del order
-        high, low = np.uint64(len(ctxs).bit_length() + 16), np.uint64(16)
-        if len(types).bit_length() + int(high) <= 64:
-            mine <<= high
-            mine |= u.astype(np.uint64) << low
-            mine |= doc
-            mine.sort()
-            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            n, mine = len(mine), mine[first]
-            w, u, doc = mine >> high, (mine & ((np.uint64(1) << high) - np.uint64(1))) >> low, (mine & np.uint64(0xFFFF)).astype("<u2")
-        else:  # one text of many millions of words
-            order = np.lexsort((doc, u, mine))
-            w, u, doc = mine[order], u[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (doc[1:] != doc[:-1])]))
-            n, w, u, doc = len(w), w[first], u[first], doc[first]
-        times = np.diff(np.append(first, n)).astype("<u4")
-        types, bucket = types[by], bucket[by]
-        w, u = w.astype(np.int64), u.astype(np.int64)
-        held = held[doc]
-        out: list[list] = [[], []]
-        some = np.unique(bucket)
-        lo, hi = np.searchsorted(bucket, some), np.searchsorted(bucket, some, "right")
-        for k, a, b in zip(some.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            x, y = np.searchsorted(w, [a, b])
-            mine, at = np.unique(u[x:y], return_inverse=True)
-            kind = np.dtype(index_kind(len(mine)))
-            at = at.astype(kind) | held[x:y].astype(kind) << kind.type(kind.itemsize * 8 - 1)
-            out[0].append(k)
-            out[1].append(pack(types[a:b].astype("<u8"), np.bincount(w[x:y] - a, minlength=b - a).astype("<u4"), steps(ctxs[mine]), planes(at), doc[x:y], times[x:y]))
-        out[0].append(-1)
-        out[1].append(pack(np.array([i or 0 for i in ids], "<i8"), known, np.array(n_tokens, "<u4")))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([chunk] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary())], names=["bucket", "chunk", "block"])
+def discount(one: float, two: float) -> float:
+    """By n1 / (n1 + 2 n2)."""
+    return min(0.95, max(0.05, one / max(1.0, one + 2 * two)))
+
+
+def model_of(types: float, tokens: float, once: float, cells: float, roots1: float, roots2: float, cells1: float, cells2: float) -> Model:
+    """The model before the first round, when each cell has one table.
+
+    The unknown type's base probability is what makes its overall probability the share of tokens seen once
+    (Good-Turing), as far as a base can give it.
+    """
+    d1, d0 = discount(cells1, cells2), discount(roots1, roots2)
+    escape = (STRENGTH + d1 * cells) / (STRENGTH + tokens) * (STRENGTH + d0 * types) / (STRENGTH + cells)
+    unknown = min(0.95, max(1.0 / (types + 1), (once / max(1.0, tokens)) / max(escape, 1e-12)))
+    return Model(d1, d0, (1 - unknown) / max(1.0, types), unknown, types, tokens, cells, types)
+
+
+def root_share(m: Model) -> float:
+    """The unigram restaurant's weight for its base."""
+    return (STRENGTH + m.d0 * m.roots) / (STRENGTH + m.tables)
+
+
+def home_round(x: Home, roots: bytes | None, ups: dict[int, bytes], m: Model, seed: list[int], keep: bool, last: bool) -> tuple[bytes, dict[int, bytes], list[float]]:
+    """The unigram restaurant's words of this home after the buckets' round: its seating, what each bucket is told, its tables.
+
+    With ``keep`` the round is a sample; with ``last`` buckets are told the sums over the samples.
+    """
+    tu, c = np.zeros(len(x.cu), np.int64), np.zeros(len(x.cw), np.int64)
+    for k, blob in ups.items():
+        *_, pu, pw = unpack(blob)
+        i, j = x.of[k]
+        tu[i] += of_counts(pu)
+        c[j] += of_counts(pw)
+    if roots is None:  # the model counts a table for each type
+        had, z, sum_t, sum_p, before = np.zeros(len(c), np.int64), np.zeros(0, np.int64), np.zeros(len(tu), np.int64), np.zeros(len(c)), (x.cw > 0).sum()
+    else:
+        had, z, sum_t, sum_p, before = unpack(roots)
+        had, z, sum_t, sum_p, before = of_counts(had), of_planes(z, "<u4").astype(np.int64), of_counts(sum_t), of_planes(sum_p, "<f8"), before.sum()
+    stay = np.minimum(had, c)
+    off = np.cumsum(had) - had
+    fewer = np.flatnonzero(stay < had)
+    if len(fewer):  # customers of a word are alike, so any of them go
+        at = ragged(off[fewer], had[fewer])
+        who = np.repeat(fewer, had[fewer])
+        rank = np.lexsort((np.random.default_rng([*seed, 1]).random(len(at)), who))
+        z[at] = z[at[rank]]
+    z = z[ragged(off, stay)]
+    tables = np.array([float(m.roots - before)])
+    seats = Seats(c, stay, z, m.d0, STRENGTH, np.zeros(len(c), np.int64), tables, np.arange(len(c)), c.astype(float), lambda col, above: np.full(len(col), m.known), seed)
+    tables += seats.used.sum()
+    seats.come()
+    if keep:
+        seats.sweep()
+    t = seats.used
+    if keep:
+        sum_t = sum_t + tu
+        sum_p = sum_p + (c - m.d0 * t) / (STRENGTH + m.tables)
+    state = pack(counts(c), planes(seats.z.astype("<u4")), counts(sum_t), planes(sum_p.astype("<f8")), np.array([t.sum()], "<i8"))
+    downs = {}
+    for k, (i, j) in x.of.items():
+        downs[k] = pack(counts(x.cu[i]), counts(sum_t[i]), counts(x.cw[j]), planes(sum_p[j].astype("<f8"))) if last else pack(counts(tu[i]), counts(c[j]), counts(t[j]))
+    return state, downs, [float(t.sum())]
+
+
+def leaf_round(x: Cells, seats: bytes | None, downs: dict[int, bytes], m: Model, seed: list[int], buckets: int, keep: bool) -> tuple[bytes, dict[int, bytes], list[float]]:
+    """A round over a bucket's contexts: their seating, what each home is told, their tables."""
+    tables, above, roots = np.zeros(len(x.u)), np.zeros(len(x.w)), np.zeros(len(x.w))
+    ours = list(zip(dealt(x.u, buckets), dealt(x.w, buckets), strict=True))
+    for k, blob in downs.items():
+        tu, c, t = map(of_counts, unpack(blob))
+        i, j = ours[k]
+        tables[i], above[j], roots[j] = tu, c, t
+    rest, over = (STRENGTH + m.d0 * m.roots) * m.known, STRENGTH + m.tables
+
+    def parent(col: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        return (customers - m.d0 * np.minimum(roots[col], customers) + rest) / over
+
+    some = np.flatnonzero(x.c > 1)  # a cell's only customer always has the one table
+    if seats is None:
+        z, have, total = np.zeros(0, np.int64), np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+        # until they come in, these cells have no tables
+        np.subtract.at(tables, x.iu[some], 1)
+        np.subtract.at(above, x.iw[some], 1)
+    else:
+        z, total = unpack(seats)
+        z, have, total = of_planes(z, "<u4").astype(np.int64), x.c[some], of_counts(total)
+    s = Seats(x.c[some], have, z, m.d1, STRENGTH, x.iu[some], tables, x.iw[some], above, parent, seed)
+    s.come() if seats is None else s.sweep()
+    t = np.ones(len(x.c), np.int64)
+    t[some] = s.used
+    if keep:
+        total = total + t[some]
+    tu, tw = np.bincount(x.iu, weights=t, minlength=len(x.u)), np.bincount(x.iw, weights=t, minlength=len(x.w))
+    ups = {k: pack(counts(tu[i]), counts(tw[j])) for k, (i, j) in enumerate(ours) if len(i) or len(j)}
+    return pack(planes(s.z.astype("<u4")), counts(total)), ups, [float(t.sum())]
+
+
+class Scorer:
+    """Scores the tokens of a bucket; ``drawn`` are the models of the sampled rounds."""
+
+    def __init__(self, x: Cells, seats: bytes, downs: dict[int, bytes], drawn: list[Model], buckets: int):
+        m = drawn[0]
+        n = len(drawn)
+        cu, sum_t, cw, sum_p = np.zeros(len(x.u)), np.zeros(len(x.u)), np.zeros(len(x.w)), np.zeros(len(x.w))
+        ours = list(zip(dealt(x.u, buckets), dealt(x.w, buckets), strict=True))
+        for k, blob in downs.items():
+            a, b, c, d = unpack(blob)
+            i, j = ours[k]
+            cu[i], sum_t[i], cw[j], sum_p[j] = of_counts(a), of_counts(b), of_counts(c), of_planes(d, "<f8")
+        share = float(np.mean([root_share(y) for y in drawn]))
+        self.x, self.known = x, cw > 0
+        self.word = np.where(self.known, sum_p / n + share * m.known, share * m.unknown)
+        self.back = (STRENGTH + m.d1 * sum_t / n) / (STRENGTH + cu)
+        t = np.ones(len(x.c))
+        t[x.c > 1] = of_counts(unpack(seats)[1]) / n
+        self.cell = x.iu * max(1, len(x.w)) + x.iw
+        self.own = (x.c - m.d1 * t) / (STRENGTH + cu[x.iu])
+        self.base = np.log10(cw + 0.5) - np.log10(m.tokens + 0.5 * (m.types + 1))
+
+    def texts(self, blob: bytes) -> bytes:
+        """By text of a block: log10 probability and base of its tokens here, and how many are known."""
+        own_u, own_w, iu, iw, per, _ = tokens_of(blob)
+        u, w = np.searchsorted(self.x.u, own_u)[iu], np.searchsorted(self.x.w, own_w)[iw]
+        p = self.back[u] * self.word[w]
+        if len(self.cell):
+            key = u * max(1, len(self.x.w)) + w
+            at = np.searchsorted(self.cell, key)
+            at[at == len(self.cell)] = 0
+            hit = self.cell[at] == key
+            p[hit] += self.own[at[hit]]
+        text = np.repeat(np.arange(len(per)), per)
+        score, base, known = (np.bincount(text, weights=y, minlength=len(per)) for y in (np.log10(p), self.base[w], self.known[w]))
+        some = np.flatnonzero(per)
+        return pack(planes(np.diff(some, prepend=0).astype("<u4")), planes(score[some].astype("<f8")), planes(base[some].astype("<f8")), planes(known[some].astype("<u4")))
+
+
+def rows_of(rows: Iterable[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.float64())), strict=True)], names=["bucket", "kind", "frm", "block", "sums"])
+
+
+def of_kind(table: pa.Table, kind: int) -> dict[int, bytes]:
+    """Blocks of the kind by where they come from."""
+    return {f: b.as_py() for k, f, b in zip(table.column("kind").to_pylist(), table.column("frm").to_pylist(), table.column("block"), strict=True) if k == kind}
+
+
+def bucket_of(*tables: pa.Table) -> int:
+    return next(t.column("bucket")[0].as_py() for t in tables if t.num_rows)
+
+
+def blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows of TEXT, a chunk's tokens in each bucket, and of IDS, its doc_ids and their tokens."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, parts, ids, n_tokens, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+        chunk, keys, ids, per, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            held = np.array([held_out(i) for i in ids], bool)
+            n = np.concatenate(per)
+            all_keys = np.concatenate(keys)
+            keys.clear()
+            raw = pack(np.array([i or 0 for i in ids], "<i8"), np.array([i is not None for i in ids], "<u1"), n.astype("<u4"))
+            rows = [(chunk % buckets, IDS, chunk, raw, None)]
+            for bucket, blob in blocks_of(all_keys, n, held, buckets):
+                rows.append((bucket, TEXT, chunk, blob, None))
+            yield from rows_of(rows).to_batches()
+            give_back()
+
         for batch in batches:
             texts, names = binary_list(batch.column("text")), batch.column("doc_id").to_pylist()
             for a, b in slices(texts):
-                word, ctx, d = stream(texts[a:b], by_word)
-                parts.append((word, ctx, (d + len(ids)).astype("<u2")))
+                x, n = stream(texts[a:b])
+                keys.append(x)
+                per.append(n)
                 ids += names[a:b]
-                n_tokens += np.bincount(d, minlength=b - a).tolist()
                 size += sum(map(len, texts[a:b]))
                 if size > CHUNK_BYTES or len(ids) > CHUNK_DOCS:
-                    yield from close(chunk, parts, ids, n_tokens)
-                    give_back()
-                    chunk, parts, ids, n_tokens, size = chunk + 1, [], [], [], 0
+                    yield from close()
+                    chunk, keys, ids, per, size = chunk + 1, [], [], [], 0
         if ids:
-            yield from close(chunk, parts, ids, n_tokens)
-            give_back()
+            yield from close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, chunk long, block binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW)
 
 
-def seated(c: np.ndarray, a: np.ndarray, discount: float, r: np.random.Generator) -> np.ndarray:
-    """Tables that c customers of one dish come to sit at; a is the weight of a new table.
-
-    The first customer opens one.  Of the others, the first ONE_BY_ONE are seated one by one, the rest in
-    blocks that double, each with the probability that holds in its middle.
-    """
-    t = np.minimum(c, 1).astype(np.float64)
-    live = np.flatnonzero(c > 1)
-    for i in range(1, ONE_BY_ONE):
-        if not len(live):
-            return t
-        p = a[live] / (i - discount * t[live] + a[live])
-        t[live] += r.random(len(live)) < p
-        live = live[c[live] > i + 1]
-    n = ONE_BY_ONE
-    while len(live):
-        size = np.minimum(c[live] - n, n)
-        p = a[live] / (n + size / 2 - discount * t[live] + a[live])
-        t[live] += r.binomial(size.astype(np.int64), p)
-        n *= 2
-        live = live[c[live] > n]
-    return t
-
-
-STATE = "bucket int, words binary, cells binary, roots binary"
-
-
-def counted(table: DataFrame, by_word: bool = False) -> DataFrame:
-    """The cells of each bucket from its training entries, with first guesses of the tables, and the cells by context as ``leaf``."""
+def counted(table: DataFrame, buckets: int) -> DataFrame:
+    """Rows of CELLS, and of KEYS for each home."""
 
     def run(group: pa.Table) -> pa.Table:
-        words, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for blob in blobs(group):
-            w, n, ctxs, at, held, *_ = entries(blob)
-            words.append(w[np.unique(np.repeat(np.arange(len(w)), n)[~held])])
-            keys.append(ctxs[np.bincount(at[~held], minlength=len(ctxs)) > 0])
-        types, ctxs = np.unique(np.concatenate(words)), np.unique(np.concatenate(keys))
-        wide = max(1, len(ctxs))
-
-        def of_block(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-            """Cells of a block and their customers; a block's entries are in ascending order of words and contexts."""
-            w, n, own, at, held, _, m = entries(blob)
-            cell = np.repeat(np.searchsorted(types, w) * wide, n)[~held] + np.searchsorted(ctxs, own)[at[~held]]
-            if not len(cell):
-                return cell, np.zeros(0, "<u4")
-            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            return cell[first], np.add.reduceat(m[~held], first)
-
-        def cells(cell: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.argsort(cell, kind="stable")
-            cell, m = cell[order], m[order]
-            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-            return cell[first], np.add.reduceat(m.astype(np.int64), first) if len(cell) else np.zeros(0, np.int64)
-
-        cell, c = cells(*(np.concatenate(x) for x in zip(*map(of_block, blobs(group)), strict=True)))
-        place, u = cell // wide, cell % wide
-        tokens = np.bincount(place, weights=c, minlength=len(types)).astype("<u8")
-        if by_word:
-            leaf = pack(np.bincount(place, minlength=len(types)).astype("<u4"), planes(u.astype("<u4")), c.astype("<u4"), steps(ctxs))
-            sums = [len(c), (c == 1).sum(), (c == 2).sum(), (ctxs[u] == 0).sum(), tokens[types == END].sum()]
-            c = np.ones(len(c), np.int64)
-        else:
-            leaf, sums = pack(*[np.zeros(0, k) for k in ("<u4", "<u1", "<u4", "<u1")]), [0.0] * 5
-        cell, c = cells(place * CONTEXTS + (ctxs[u] % np.uint64(CONTEXTS)).astype(np.int64), c)
-        per = np.bincount(cell // CONTEXTS, minlength=len(types))
-        t = np.maximum(1, np.sqrt(c)).astype("<u4")
-        raw = pack(types.astype("<u8"), per.astype("<u4"), (cell % CONTEXTS).astype("<u2"), c.astype("<u4"), tokens, np.array(sums, "<f8"))
-        zero = np.zeros(len(cell), "<f4")
+        own = bucket_of(group)
+        give_back()
+        x = cells_of(list(of_kind(group, TEXT).values()))
+        rows = [(own, CELLS, own, x.pack(), [float((x.c == 1).sum()), float((x.c == 2).sum())])]
+        rows += [(k, KEYS, own, blob, None) for k, blob in key_blocks(x, buckets)]
         give_back()
-        return pa.table(
-            [pa.array([group.column("bucket")[0].as_py()], pa.int32()), pa.array([raw], pa.binary()), pa.array([pack(t, zero)], pa.binary()), pa.array([pack(np.zeros(0, "<f8"))], pa.binary()), pa.array([leaf], pa.binary())],
-            names=["bucket", "words", "cells", "roots", "leaf"],
-        )
+        return rows_of(rows)
 
-    return table.where("bucket >= 0").groupBy("bucket").applyInArrow(run, f"{STATE}, leaf binary")
+    return table.where(F.col("kind") == TEXT).groupBy("bucket").applyInArrow(run, ROW)
 
 
-def dealt(ctxs: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """The contexts but the start, by the bucket of their own tokens."""
-    some = np.flatnonzero(ctxs)
-    to = home(ctxs[some] >> BY_CLASS, buckets)
-    by = np.argsort(to, kind="stable")
-    names, first = np.unique(to[by], return_index=True)
-    return list(zip(names.tolist(), np.split(some[by], first[1:]), strict=True)) if len(some) else []
+def homes(table: DataFrame) -> DataFrame:
+    """Rows of HOME."""
 
+    def run(group: pa.Table) -> pa.Table:
+        own = bucket_of(group)
+        x, sums = home_of(of_kind(group, KEYS))
+        return rows_of([(own, HOME, own, x.pack(), sums)])
 
-def followed(leaf: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, leaf, after): with the distinct followers of each context of ``leaf``, and of each that is a word of the bucket."""
+    return table.where(F.col("kind") == KEYS).groupBy("bucket").applyInArrow(run, ROW)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("leaf").to_pylist(), strict=True):
-                _, u, _, ctxs = unpack(blob)
-                ctxs, u = of_steps(ctxs), of_planes(u, "<u4")
-                n = np.bincount(u, minlength=len(ctxs)).astype("<u4")
-                parts = dealt(ctxs, buckets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in parts], pa.int32()), pa.array([bucket] * len(parts), pa.int32()), pa.array([pack(steps(ctxs[x]), planes(n[x])) for _, x in parts], pa.binary())],
-                    names=["home", "asker", "block"],
-                )
-
-    def answer(group: pa.Table) -> pa.Table:
-        asked = [unpack(x) for x in group.column("block").to_pylist()]
-        names = [of_steps(x) >> BY_CLASS for x, _ in asked]
-        words, at = np.unique(np.concatenate(names), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([of_planes(x, "<u4") for _, x in asked])).astype("<u4")
-        parts = np.split(n[at], np.cumsum([len(x) for x in names])[:-1])
-        own = group.column("home")[0].as_py()
-        return pa.table(
-            [pa.array([*group.column("asker").to_pylist(), own], pa.int32()), pa.array([own] * len(parts) + [-1], pa.int32()), pa.array([*(pack(planes(x)) for x in parts), pack(steps(words), planes(n))], pa.binary())],
-            names=["bucket", "home", "block"],
-        )
-
-    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        bucket = (left if left.num_rows else right).column("bucket").slice(0, 1)
-        blob = left.column("leaf")[0].as_py()
-        ctxs = of_steps(unpack(blob)[3])
-        got = dict(zip(right.column("home").to_pylist(), right.column("block").to_pylist(), strict=True))
-        after = np.zeros(len(ctxs), "<u4")
-        for k, x in dealt(ctxs, buckets):
-            after[x] = of_planes(unpack(got[k])[0], "<u4")
-        own = unpack(got[-1]) if -1 in got else [np.zeros(0, "<u1")] * 2
-        return pa.table([bucket, pa.array([blob], pa.binary()), pa.array([pack(planes(after), *own)], pa.binary())], names=["bucket", "leaf", "after"])
-
-    asked = leaf.mapInArrow(ask, "home int, asker int, block binary")
-    answers = asked.groupBy("home").applyInArrow(answer, "bucket int, home int, block binary")
-    return leaf.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(joined, "bucket int, leaf binary, after binary")
-
-
-def totals(state: DataFrame) -> dict:
-    """Sums over all buckets: customers and tables by class, and counts of counts."""
-
-    size = 2 * CONTEXTS + 13
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(size)
-        for batch in batches:
-            for words, cells in zip(batch.column("words").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                types, per, ctx, c, tokens, leaf = unpack(words)
-                t = unpack(cells)[0]
-                root = np.bincount(np.repeat(np.arange(len(types)), per), weights=t, minlength=len(types))
-                out += np.concatenate([
-                    np.bincount(ctx, weights=c, minlength=CONTEXTS), np.bincount(ctx, weights=t, minlength=CONTEXTS),
-                    [len(types), tokens.sum(), (tokens == 1).sum(), root.sum(), (c == 1).sum(), (c == 2).sum(), (root == 1).sum(), (root == 2).sum()], leaf,
-                ])
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["slot", "sums"])
-
-    def add(group: pa.Table) -> pa.Table:
-        out = sum(np.frombuffer(x, "<f8") for x in group.column("sums").to_pylist())
-        return pa.table([group.column("slot").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["slot", "sums"])
-
-    # a row for each task, then 16 rows for the driver; all are whole numbers, so their order doesn't matter
-    fields = "slot int, sums binary"
-    rows = state.select("words", "cells").mapInArrow(run, fields).groupBy("slot").applyInArrow(add, fields).collect()
-    x = sum((np.frombuffer(r["sums"], "<f8") for r in rows), np.zeros(size))
-    names = ("types", "tokens", "once", "root_customers", "cells1", "cells2", "roots1", "roots2", "leaves", "leaves1", "leaves2", "start_types", "texts")
-    return {"customers": x[:CONTEXTS], "tables": x[CONTEXTS : 2 * CONTEXTS], **dict(zip(names, x[2 * CONTEXTS :].tolist(), strict=True))}
+def summed(rows: DataFrame, kind: int, n: int) -> list[float]:
+    """Sums over all buckets; they're of whole numbers, so their order doesn't matter."""
+    found = rows.where(F.col("kind") == kind).agg(*(F.sum(F.col("sums")[k]) for k in range(n))).first()
+    return [float(x or 0.0) for x in found]
 
 
-def discount(one: float, two: float) -> float:
-    """By n1 / (n1 + 2 n2)."""
-    return min(0.95, max(0.05, one / max(1.0, one + 2 * two)))
+def at_homes(table: DataFrame, flow: DataFrame, m: Model, seed: int, keep: bool, last: bool) -> DataFrame:
+    """ROOTS and DOWN rows from ROOTS and UP (at first KEYS) rows."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = bucket_of(left, right)
+        x = Home.read(of_kind(left, HOME)[own])
+        state, downs, sums = home_round(x, of_kind(right, ROOTS).get(own), of_kind(right, UP) or of_kind(right, KEYS), m, [seed, own], keep, last)
+        give_back()
+        return rows_of([(own, ROOTS, own, state, sums), *((k, DOWN, own, blob, None) for k, blob in downs.items())])
 
-def discounts(s: dict) -> tuple[float, float]:
-    """Of the classes and of their parent."""
-    return discount(s["cells1"], s["cells2"]), discount(s["roots1"], s["roots2"])
+    return table.where(F.col("kind") == HOME).groupBy("bucket").cogroup(flow.where(F.col("kind").isin(ROOTS, UP, KEYS)).groupBy("bucket")).applyInArrow(run, ROW)
 
 
-def base_of(s: dict, d1: float, d0: float, root_tables: float) -> tuple[float, float]:
-    """The base's probabilities of one known type and of the unknown one.
+def at_cells(table: DataFrame, flow: DataFrame, m: Model, seed: int, buckets: int, keep: bool) -> DataFrame:
+    """SEATS and UP rows from SEATS and DOWN rows."""
 
-    The unknown type gets what makes its overall probability the share of tokens seen once (Good-Turing),
-    as far as a base can give it.
-    """
-    escape = ((STRENGTH + d1 * s["tables"].sum()) / (STRENGTH + s["customers"].sum())) * ((STRENGTH + d0 * root_tables) / (STRENGTH + s["root_customers"]))
-    if s["leaves"]:
-        escape *= (STRENGTH + discount(s["leaves1"], s["leaves2"]) * s["leaves"]) / (STRENGTH + s["tokens"])
-    unknown = min(0.95, max(1.0 / (s["types"] + 1), (s["once"] / max(1.0, s["tokens"])) / max(escape, 1e-12)))
-    return (1 - unknown) / max(1.0, s["types"]), unknown
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = bucket_of(left, right)
+        x = Cells.of(of_kind(left, CELLS)[own])
+        state, ups, sums = leaf_round(x, of_kind(right, SEATS).get(own), of_kind(right, DOWN), m, [seed, own], buckets, keep)
+        give_back()
+        return rows_of([(own, SEATS, own, state, sums), *((k, UP, own, blob, None) for k, blob in ups.items())])
 
+    return table.where(F.col("kind") == CELLS).groupBy("bucket").cogroup(flow.where(F.col("kind").isin(SEATS, DOWN)).groupBy("bucket")).applyInArrow(run, ROW)
 
-def round_of(state: DataFrame, s: dict, seed: int, keep: bool) -> DataFrame:
-    """All restaurants seat their customers anew; with ``keep``, the round is a sample."""
-    d1, d0 = discounts(s)
-    g_known, _ = base_of(s, d1, d0, s["root_tables"])
-    new_root = (STRENGTH + d0 * s["root_tables"]) * g_known
-    new_table = STRENGTH + d1 * s["tables"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, words, cells, roots in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "cells", "roots")), strict=True):
-                types, per, ctx, c, *_ = unpack(words)
-                t, mean = unpack(cells)
-                r = np.random.default_rng([seed, bucket])
-                place = np.repeat(np.arange(len(types)), per)
-                customers = np.bincount(place, weights=t, minlength=len(types))
-                t0 = seated(customers, np.full(len(types), new_root), d0, r)
-                p0 = (customers - d0 * t0 + new_root) / (STRENGTH + s["root_customers"])
-                t = seated(c.astype(np.int64), new_table[ctx] * p0[place], d1, r)
-                samples = unpack(roots)
-                if keep:
-                    mean = mean + (t / SAMPLES).astype("<f4")
-                    samples = [x for x in samples if len(x)] + [customers - d0 * t0]
-                # the tables of the root are a sum that the next round needs
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket], pa.int32()), pa.array([words], pa.binary()), pa.array([pack(t.astype("<u4"), mean.astype("<f4"))], pa.binary()), pa.array([pack(*samples)], pa.binary()), pa.array([float(t0.sum())])],
-                    names=["bucket", "words", "cells", "roots", "root_tables"],
-                )
-
-    return state.select("bucket", "words", "cells", "roots").mapInArrow(run, f"{STATE}, root_tables double")
-
-
-def sampled(state: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """The state after all rounds, and for each sample the totals that it was drawn under and those that it made."""
-    s = totals(state)
-    s["root_tables"] = s["types"]
-    drawn = []
-    for k in range(BURN + SAMPLES):
-        keep, before = k >= BURN, s
-        last, state = state, written(round_of(state, s, k, keep), f"seating-{k}")
-        if k:
-            dropped(state.sparkSession, last)
-        root_tables = state.agg(F.sum("root_tables")).first()[0] or 0.0
-        s = totals(state) | {"root_tables": root_tables}
-        if keep:
-            drawn.append(before | {"tables_now": s["tables"], "root_tables_now": root_tables})
-    return state.select("bucket", "words", "cells", "roots"), drawn
-
-
-def scored(table: DataFrame, state: DataFrame, drawn: list[dict], by_word: bool = False) -> DataFrame:
-    """Log10 probabilities summed by document."""
-    s0 = drawn[0]
-    n, v = s0["tokens"], s0["types"]
-    floor = np.log10(n + 0.5 * (v + 1))
-    d1, below = discounts(s0)[0], STRENGTH + s0["customers"]
-    # each sample's probabilities sum to one: its tables give the mass that goes to the level above
-    share, lift, over, p_unknown = [], [], [], []
-    for s in drawn:
-        d0 = discounts(s)[1]
-        g_known, g_unknown = base_of(s, d1, d0, s["root_tables"])
-        share.append((STRENGTH + d1 * s["tables_now"]) / below)
-        lift.append((STRENGTH + d0 * s["root_tables_now"]) * g_known)
-        over.append(STRENGTH + s["root_customers"])
-        p_unknown.append((STRENGTH + d0 * s["root_tables_now"]) * g_unknown / over[-1])
-    share = np.stack(share)
-    unknown = np.log10((share * np.array(p_unknown)[:, None]).mean(0))
-    d2 = discount(s0["leaves1"], s0["leaves2"])
-    lam_start = np.log10((STRENGTH + d2 * s0["start_types"]) / (STRENGTH + s0["texts"])) if by_word else 0.0
+def scored(table: DataFrame, flow: DataFrame, drawn: list[Model], buckets: int) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if right.num_rows:
-            types, per, k, c, tokens, _ = unpack(only(right, "words"))
-            _, mean_t = unpack(only(right, "cells"))
-            roots = np.stack(unpack(only(right, "roots")))
-            cell = np.repeat(np.arange(len(types)), per) * CONTEXTS + k
-            lam = np.zeros(len(types))
-            if by_word:
-                n_leaf, u, c2, ctxs = unpack(only(right, "leaf"))
-                after, heads, n_after = unpack(only(right, "after"))
-                ctxs, after = of_steps(ctxs), of_planes(after, "<u4").astype(float)
-                after[ctxs == 0] = s0["start_types"]
-                u = of_planes(u, "<u4")
-                leaf = np.repeat(np.arange(len(types)) * max(1, len(ctxs)), n_leaf)
-                leaf += u
-                # beside the parent's probability, with the context's share for its parent as a factor of both
-                extra = (STRENGTH + d2 * after)[u]
-                np.divide(c2 - d2, extra, out=extra)
-                del u, c2, after
-                # that share, of each word as a context
-                names, at = np.unique(types >> CUT, return_inverse=True)
-                customers = np.bincount(at, weights=tokens, minlength=len(names))
-                tables = np.zeros(len(names))
-                tables[np.searchsorted(names, of_steps(heads))] = of_planes(n_after, "<u4")
-                lam = np.log10((STRENGTH + d2 * tables) / (STRENGTH + customers))[at]
-                lam[types == END] = 0
-            base = np.log10(tokens + 0.5) - floor
-        else:
-            types, cell, c = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-        none = np.log10(0.5) - floor
-        for chunk, blob in zip(left.column("chunk").to_pylist(), blobs(left), strict=True):
-            w, n_w, own, which, _, doc, times = entries(blob)
-            ctx = (own % np.uint64(CONTEXTS)).astype(np.int64)[which]
-            at = np.searchsorted(types, w)
-            known = at < len(types)
-            known[known] = types[at[known]] == w[known]
-            at = np.repeat(np.where(known, at, 0), n_w)
-            known = np.repeat(known, n_w)
-            score, plain = unknown[ctx], np.full(len(ctx), none)
-            if known.any():
-                i, x = at[known], ctx[known]
-                p = sum(share[s][x] * (roots[s][i] + lift[s]) / over[s] for s in range(len(drawn))) / len(drawn)
-                key = i * CONTEXTS + x
-                j = np.searchsorted(cell, key)
-                hit = j < len(cell)
-                hit[hit] = cell[j[hit]] == key[hit]
-                p[hit] += (c[j[hit]] - d1 * mean_t[j[hit]]) / below[x[hit]]
-                if by_word and len(leaf):
-                    y = np.searchsorted(ctxs, own)
-                    there = y < len(ctxs)
-                    there[there] = ctxs[y[there]] == own[there]
-                    some = np.flatnonzero(there[which[known]])
-                    key = i[some] * len(ctxs) + y[which[known][some]]
-                    j = np.searchsorted(leaf, key)
-                    hit = j < len(leaf)
-                    hit[hit] = leaf[j[hit]] == key[hit]
-                    p[some[hit]] += extra[j[hit]]
-                score[known], plain[known] = np.log10(p) + lam[i], base[i]
-            docs = np.unique(doc)
-            m = times.astype(float)
-            sums = [np.bincount(doc, weights=y)[docs] for y in (score * m, plain * m, known * m)]
-            out[0].append(left.column("bucket")[0].as_py())
-            out[1].append(chunk)
-            out[2].append(pack(docs, sums[0], sums[1], sums[2].astype("<u4")))
-        return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["bucket", "chunk", "block"])
-
-    parts = table.where("bucket >= 0").groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, "bucket int, chunk long, block binary")
-    parts = parts.unionByName(table.where("bucket < 0").select("bucket", "chunk", "block"))
-    held_fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        own = bucket_of(left, right)
+        give_back()
+        kinds = left.column("kind").to_pylist()
+        scorer = Scorer(Cells.of(left.column("block")[kinds.index(CELLS)].as_py()), of_kind(right, SEATS)[own], of_kind(right, DOWN), drawn, buckets)
+        rows = [(own, TEXT, f, scorer.texts(b.as_py()), None) for k, f, b in zip(kinds, left.column("frm").to_pylist(), left.column("block"), strict=True) if k == TEXT]
+        give_back()
+        return rows_of(rows)
+
+    read = table.where(F.col("kind").isin(TEXT, CELLS)).groupBy("bucket").cogroup(flow.where(F.col("kind").isin(SEATS, DOWN)).groupBy("bucket")).applyInArrow(run, ROW)
+    parts = read.unionByName(table.where(F.col("kind") == IDS).select("bucket", "kind", "frm", "block", "sums")).select("frm", "kind", "bucket", "block")
+    train = int(drawn[0].tokens)
 
     def gather(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group.column("bucket").to_pylist(), group.column("block").to_pylist(), strict=True))
-        ids, there, n_tokens = unpack(rows[0][1])
+        kinds, blobs, by = (group.column(c).to_pylist() for c in ("kind", "block", "bucket"))
+        ids, there, n_tokens = unpack(blobs[kinds.index(IDS)])
         score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-        score += lam_start
-        for _, blob in rows[1:]:
-            docs, a, b, k = unpack(blob)
-            score[docs] += a
-            base[docs] += b
-            known[docs] += k
+        # in the order of buckets, so that sums don't depend on how rows arrive
+        for _, blob in sorted((b, x) for k, b, x in zip(kinds, by, blobs, strict=True) if k == TEXT):
+            some, a, b, n = unpack(blob)
+            some = np.cumsum(of_planes(some, "<u4"))
+            score[some] += of_planes(a, "<f8")
+            base[some] += of_planes(b, "<f8")
+            known[some] += of_planes(n, "<u4")
         names = [i if ok else None for i, ok in zip(ids.tolist(), there.tolist(), strict=True)]
-        cols = [names, [held_out(i) for i in names], n_tokens.astype(np.int64), known, np.full(len(ids), int(n)), base, score]
-        types_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types_, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        cols = [names, [held_out(i) for i in names], n_tokens.astype(np.int64), known, np.full(len(ids), train), base, score]
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return parts.groupBy("chunk").applyInArrow(gather, held_fields)
+    return parts.groupBy("frm").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, by_word: bool = False) -> DataFrame:
-    """Learns from the training folds of ``docs`` and scores all its documents; ``by_word`` gives each token before its own context."""
+def score(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) -> DataFrame:
+    """Learns from the training folds of ``docs`` and scores all its documents.  Working tables are removed."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     name = f"lm_blocks_{uuid.uuid4().hex}"
-    # bucketed by bucket, so that later steps read a bucket in one task without shuffling the blocks again
-    # its shuffle files are as large as the table and aren't needed once it's written
+    path = new_path(spark, name)
+
+    def add(rows: DataFrame, mode: str = "append") -> DataFrame:
+        """Rows that stay, bucketed by bucket, so that later steps read them without a shuffle."""
+        rows.write.format("parquet").mode(mode).bucketBy(buckets, "bucket").option("path", path).saveAsTable(name)
+        return spark.table(name)
+
+    # shuffle files are as large as the tables made of them and aren't needed once those are written
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        blocks(docs, buckets, by_word).repartition(buckets, "bucket").write.format("parquet").bucketBy(buckets, "bucket").option("path", new_path(spark, name)).saveAsTable(name)
+        table = add(blocks(docs, buckets).repartition(buckets, "bucket"), "overwrite")
+        table = add(counted(table, buckets).repartition(buckets, "bucket"))
+        table = add(homes(table))
+        m = model_of(*summed(table, HOME, 6), *summed(table, CELLS, 2))
+        up, drawn = table.where(F.col("kind") == KEYS), []
+        down = written(at_homes(table, up, m, 0, False, False), "lm-homes")
+        for k in range(1, 1 + burn + samples):
+            m = m._replace(roots=summed(down, ROOTS, 1)[0])
+            keep = k > burn
+            seats = up.where(F.col("kind") == SEATS)
+            last, up = up, written(at_cells(table, down.unionByName(seats), m, 2 * k, buckets, keep), "lm-cells")
+            m = m._replace(tables=summed(up, SEATS, 1)[0])
+            gone, down = down, written(at_homes(table, up.unionByName(down.where(F.col("kind") == ROOTS)), m, 2 * k + 1, keep, k == burn + samples), "lm-homes")
+            dropped(spark, gone)
+            if k > 1:
+                dropped(spark, last)
+            if keep:
+                drawn.append(m._replace(roots=summed(down, ROOTS, 1)[0]))
+        out = written(scored(table, down.unionByName(up), drawn, buckets), "lm-scores")
+        dropped(spark, down)
+        dropped(spark, up)
     finally:
         spark.conf.set(CLEANUP, before)
-    table = spark.table(name)
-    cells = written(counted(table, by_word), "cells")
-    state, drawn = sampled(cells.select("bucket", "words", "cells", "roots"))
-    if by_word:
-        state = state.unionByName(followed(cells.select("bucket", "leaf"), buckets), allowMissingColumns=True)
-    return scored(table, state, drawn, by_word)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
+    return out
