@@ -156,6 +156,45 @@ def test_packing(docs, rows, empty):
     assert packing.packed(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_children_better_the_founders():
+    """On pieces that best fit packs badly, children enter the population and need fewer sequences than every founder."""
+    r = np.random.default_rng(0)
+    r.lognormal(size=5000)
+    for low, high, at_most in ((300, 1400, 2078), (400, 800, 1504)):
+        sizes = np.sort(r.integers(low, high, 5000)).tolist()
+        g = np.random.default_rng(1)
+        founders = packing.first_population(sizes, 2048, g)
+        fits = {p.fitness for p in founders}
+        found = packing.evolved(founders, g)
+        children = [p for p in found if p.fitness not in fits]
+        best = min(p.fitness[0] for p in children)
+        assert len(children) > len(found) // 2 and best < min(p.fitness[0] for p in founders) and packing.lower_bound(sizes, 2048) <= best <= at_most
+        for p in found:
+            assert sorted(i for b in p.bins for i in b) == list(range(5000)) and min(p.free) >= 0
+
+
+def test_exchange_and_injection():
+    p = packing.Packing([(0, 1), (2,)], [50, 30, 60, 48, 18], 100)
+    assert sorted(p.exchange([3, 4])) == [1, 4] and sorted(p.bins[0]) == [0, 3] and p.free == [2, 40]
+    assert packing.least_slack([60, 30, 10, 50, 50], 100, None).fitness[0] == 2
+    r = np.random.default_rng(3)
+    sizes = r.integers(1, 60, 300).tolist()
+    a, b = packing.first_population(sizes, 64, r)[:2]
+    child = packing.crossover(a, b, r)
+    assert sorted(i for x in child.bins for i in x) == list(range(300)) and min(child.free) >= 0
+    assert {frozenset(x) for x in child.bins} & {frozenset(x) for x in b.bins} and a.fitness == packing.Packing(a.bins, sizes, 64).fitness
+
+
+def test_packing_of_repeated_rows_and_null_ids(spark, monkeypatch):
+    """Rows alike in all columns are dealt over groups, and each of them is packed."""
+    monkeypatch.setattr(packing, "GROUP", 20)
+    some = spark.createDataFrame([(None, "a b c")] * 50 + [(7, "d e")] * 40 + [(8, None), (9, "")], "doc_id long, text string").selectExpr("*", "1 AS grp", "2 AS row", "3 AS island", "'x' AS length")
+    got = packing.packed(some.repartition(2), P.path("word_bpe_49k.json"), capacity=16).collect()
+    assert Counter(r.doc_id for r in got) == {None: 50, 7: 40, 8: 1, 9: 1}
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id is None}) > 1
+    assert len(got) == len({(r.sequence_id, r.offset) for r in got})
+
+
 @pytest.mark.parametrize("model,label", [(quality_ftrl, "quality"), (toxicity, "toxic")])
 def test_classifiers_learn_and_take_anything(spark, docs, rows, empty, model, label):
     good = "plain words that stand in order number"
