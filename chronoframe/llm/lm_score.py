@@ -44,12 +44,13 @@ from chronoframe.llm.storage import delete, dropped, new_path, partitions, small
 #: A key is the upper 56 bits of a word's hash; 0 is a text's start.
 CUT = np.uint64(8)
 START, END = np.uint64(0), np.uint64(0xE0D0E0D0E0D0E0)
-BURN, SAMPLES = 2, 3
+BURN, SAMPLES = 1, 3
 STRENGTH = 1.0
-CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 60_000
+#: Bytes of text that are taken in at a time, and of a chunk.
+PART_BYTES, CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 24 << 20, 60_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Kinds of rows: what a bucket and a home always keep, what they keep for the next round, and what they send.
-TEXT, IDS, CELLS, KEYS, HOME, SEATS, ROOTS, UP, DOWN = range(9)
+TEXT, IDS, CELLS, HOME, KEYS, SEATS, ROOTS, UP, DOWN = range(9)
 ROW = "bucket int, kind int, frm long, block binary, sums array<double>"
 
 
@@ -137,43 +138,71 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, per + 1
 
 
-def blocks_of(keys: np.ndarray, per: np.ndarray, held: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """The tokens of each bucket: contexts, words, by token the place of both, tokens by text, and the held-out texts."""
-    types, at = np.unique(np.concatenate([keys, [START]]), return_inverse=True)
-    at = at[:-1].astype(np.uint32)
-    before = np.zeros_like(at)
+class Part(NamedTuple):
+    """Tokens in turn, as places in ascending keys."""
+
+    types: np.ndarray
+    at: np.ndarray
+
+    @staticmethod
+    def of(keys: np.ndarray) -> Part:
+        types, at = np.unique(keys, return_inverse=True)
+        return Part(types, at.astype(np.uint32))
+
+
+def blocks_of(parts: list[Part], per: np.ndarray, held: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """The tokens of each bucket: keys, by token the place of its context and its word, tokens by text, and the held-out texts.
+
+    Keys stand in classes of falling frequency and ascend in each, so that both they and the places pack well.
+    """
+    types = np.unique(np.concatenate([[START], *(p.types for p in parts)]))
+    at = np.concatenate([np.searchsorted(types, p.types).astype(np.uint32)[p.at] for p in parts])
+    parts.clear()
+    rarity = 64 - np.frexp(np.bincount(at, minlength=len(types)))[1]
+    order = np.lexsort((types, rarity))
+    place = np.empty(len(types), np.uint32)
+    place[order] = np.arange(len(types), dtype=np.uint32)
+    types, at = types[order], place[at]
+    before = np.empty_like(at)
     before[1:] = at[:-1]
-    before[np.cumsum(per) - per] = 0
+    before[np.cumsum(per) - per] = place[0]  # the start's key is the smallest
+    bucket = np.empty(len(at), np.uint16 if buckets <= 1 << 16 else np.uint32)
     with np.errstate(over="ignore"):
-        bucket = (combine(types[before], types[at]) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+        for k in range(0, len(at), 1 << 19):
+            some = slice(k, k + (1 << 19))
+            bucket[some] = combine(types[before[some]], types[at[some]]) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable").astype(np.uint32)
-    bucket = bucket[order]
-    some = np.flatnonzero(np.bincount(bucket, minlength=1))
-    begin, end = np.searchsorted(bucket, some), np.searchsorted(bucket, some, "right")
+    n = np.bincount(bucket, minlength=buckets)
     del bucket
     text = np.repeat(np.arange(len(per), dtype=np.uint32), per)
-    mark, place = np.zeros(len(types), bool), np.zeros(len(types), np.uint32)
-
-    def local(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mark[x] = True
+    mark = np.zeros(len(types), bool)
+    flags, stop = np.packbits(held), np.cumsum(n)
+    for k in np.flatnonzero(n).tolist():
+        mine = order[stop[k] - n[k] : stop[k]]
+        u, w = before[mine], at[mine]
+        mark[u] = mark[w] = True
         found = np.flatnonzero(mark)
         mark[found] = False
         place[found] = np.arange(len(found), dtype=np.uint32)
-        return types[found], place[x].astype(index_kind(len(found)))
-
-    flags = np.packbits(held)
-    for k, a, b in zip(some.tolist(), begin.tolist(), end.tolist(), strict=True):
-        mine = order[a:b]
-        u, iu = local(before[mine])
-        w, iw = local(at[mine])
-        yield k, pack(steps(u), steps(w), planes(iu), planes(iw), planes(np.bincount(text[mine], minlength=len(per)).astype("<u4")), flags)
+        kind = index_kind(len(found))
+        yield k, pack(steps(types[found]), planes(place[u].astype(kind)), planes(place[w].astype(kind)), planes(np.bincount(text[mine], minlength=len(per)).astype("<u4")), flags)
 
 
 def tokens_of(blob: bytes) -> tuple[np.ndarray, ...]:
-    """Contexts, words, by token the place of both, tokens by text, and whether each text is held out."""
-    u, w, iu, iw, per, flags = unpack(blob)
-    u, w, per = of_steps(u), of_steps(w), of_planes(per, "<u4").astype(np.int64)
-    return u, w, of_planes(iu, index_kind(len(u))), of_planes(iw, index_kind(len(w))), per, np.unpackbits(flags, count=len(per)).astype(bool)
+    """Keys, by token the place of its context and of its word, tokens by text, and whether each text is held out."""
+    types, iu, iw, per, flags = unpack(blob)
+    types, per = of_steps(types), of_planes(per, "<u4").astype(np.int64)
+    kind = index_kind(len(types))
+    return types, of_planes(iu, kind), of_planes(iw, kind), per, np.unpackbits(flags, count=len(per)).astype(bool)
+
+
+def places_in(keys: np.ndarray, types: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of types[at] in ascending keys, which hold them all."""
+    there = np.zeros(len(types), bool)
+    there[at] = True
+    out = np.zeros(len(types), np.int64)
+    out[there] = np.searchsorted(keys, types[there])
+    return out[at]
 
 
 def merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,14 +233,23 @@ class Cells(NamedTuple):
 
 
 def cells_of(blobs: list[bytes]) -> Cells:
-    us, ws = zip(*(map(of_steps, unpack(x)[:2]) for x in blobs), strict=True)
+    us, ws = [], []
+    for blob in blobs:
+        types, iu, iw, *_ = tokens_of(blob)
+        for found, at in ((us, iu), (ws, iw)):
+            there = np.zeros(len(types), bool)
+            there[at] = True
+            found.append(types[there])
     u, w = np.unique(np.concatenate(us)), np.unique(np.concatenate(ws))
-    parts = []
+    keys = []
     for blob in blobs:
-        own_u, own_w, iu, iw, per, held = tokens_of(blob)
+        types, iu, iw, per, held = tokens_of(blob)
         keep = np.repeat(~held, per)
-        parts.append(np.unique((np.searchsorted(u, own_u) * len(w))[iu[keep]] + np.searchsorted(w, own_w)[iw[keep]], return_counts=True))
-    key, c = merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        keys.append(places_in(u, types, iu[keep]) * len(w) + places_in(w, types, iw[keep]))
+    key = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    c = np.diff(np.append(first, len(key)))
+    key = key[first]
     return Cells(u, w, key // len(w), key % len(w), c)
 
 
@@ -388,8 +426,8 @@ class Scorer:
 
     def texts(self, blob: bytes) -> bytes:
         """By text of a block: log10 probability and base of its tokens here, and how many are known."""
-        own_u, own_w, iu, iw, per, _ = tokens_of(blob)
-        u, w = np.searchsorted(self.x.u, own_u)[iu], np.searchsorted(self.x.w, own_w)[iw]
+        types, iu, iw, per, _ = tokens_of(blob)
+        u, w = places_in(self.x.u, types, iu), places_in(self.x.w, types, iw)
         p = self.back[u] * self.word[w]
         if len(self.cell):
             key = u * max(1, len(self.x.w)) + w
@@ -422,18 +460,21 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, keys, ids, per, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+        chunk, parts, keys, ids, per, size, fresh = TaskContext.get().partitionId() << 32, [], [], [], [], 0, 0
+
+        def taken_in() -> None:
+            parts.append(Part.of(np.concatenate(keys)))
+            keys.clear()
 
         def close() -> Iterator[pa.RecordBatch]:
+            if keys:
+                taken_in()
             held = np.array([held_out(i) for i in ids], bool)
             n = np.concatenate(per)
-            all_keys = np.concatenate(keys)
-            keys.clear()
             raw = pack(np.array([i or 0 for i in ids], "<i8"), np.array([i is not None for i in ids], "<u1"), n.astype("<u4"))
-            rows = [(chunk % buckets, IDS, chunk, raw, None)]
-            for bucket, blob in blocks_of(all_keys, n, held, buckets):
-                rows.append((bucket, TEXT, chunk, blob, None))
-            yield from rows_of(rows).to_batches()
+            yield from rows_of([(chunk % buckets, IDS, chunk, raw, None)]).to_batches()
+            for bucket, blob in blocks_of(parts, n, held, buckets):
+                yield from rows_of([(bucket, TEXT, chunk, blob, None)]).to_batches()
             give_back()
 
         for batch in batches:
@@ -443,40 +484,52 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 keys.append(x)
                 per.append(n)
                 ids += names[a:b]
-                size += sum(map(len, texts[a:b]))
+                size, fresh = size + sum(map(len, texts[a:b])), fresh + sum(map(len, texts[a:b]))
+                if fresh > PART_BYTES:
+                    taken_in()
+                    fresh = 0
                 if size > CHUNK_BYTES or len(ids) > CHUNK_DOCS:
                     yield from close()
-                    chunk, keys, ids, per, size = chunk + 1, [], [], [], 0
+                    chunk, ids, per, size, fresh = chunk + 1, [], [], 0, 0
         if ids:
             yield from close()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW)
 
 
-def counted(table: DataFrame, buckets: int) -> DataFrame:
-    """Rows of CELLS, and of KEYS for each home."""
+def counted(table: DataFrame) -> DataFrame:
+    """Rows of CELLS."""
 
     def run(group: pa.Table) -> pa.Table:
         own = bucket_of(group)
         give_back()
         x = cells_of(list(of_kind(group, TEXT).values()))
-        rows = [(own, CELLS, own, x.pack(), [float((x.c == 1).sum()), float((x.c == 2).sum())])]
-        rows += [(k, KEYS, own, blob, None) for k, blob in key_blocks(x, buckets)]
         give_back()
-        return rows_of(rows)
+        return rows_of([(own, CELLS, own, x.pack(), [float((x.c == 1).sum()), float((x.c == 2).sum())])])
 
     return table.where(F.col("kind") == TEXT).groupBy("bucket").applyInArrow(run, ROW)
 
 
-def homes(table: DataFrame) -> DataFrame:
-    """Rows of HOME."""
+def named(table: DataFrame, buckets: int) -> DataFrame:
+    """Rows of KEYS for each home, from those of CELLS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, blob in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
+                yield from rows_of((k, KEYS, own, x, None) for k, x in key_blocks(Cells.of(blob.as_py()), buckets)).to_batches()
+
+    return table.where(F.col("kind") == CELLS).select("bucket", "block").mapInArrow(run, ROW)
+
+
+def homes(keys: DataFrame) -> DataFrame:
+    """Rows of HOME from those of KEYS."""
 
     def run(group: pa.Table) -> pa.Table:
         own = bucket_of(group)
         x, sums = home_of(of_kind(group, KEYS))
         return rows_of([(own, HOME, own, x.pack(), sums)])
 
-    return table.where(F.col("kind") == KEYS).groupBy("bucket").applyInArrow(run, ROW)
+    return keys.groupBy("bucket").applyInArrow(run, ROW)
 
 
 def summed(rows: DataFrame, kind: int, n: int) -> list[float]:
@@ -563,10 +616,10 @@ def score(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) -> DataFram
     spark.conf.set(CLEANUP, "true")
     try:
         table = add(blocks(docs, buckets).repartition(buckets, "bucket"), "overwrite")
-        table = add(counted(table, buckets).repartition(buckets, "bucket"))
-        table = add(homes(table))
+        table = add(counted(table))
+        table = add(homes(named(table, buckets)))
         m = model_of(*summed(table, HOME, 6), *summed(table, CELLS, 2))
-        up, drawn = table.where(F.col("kind") == KEYS), []
+        up, drawn = named(table, buckets), []
         down = written(at_homes(table, up, m, 0, False, False), "lm-homes")
         for k in range(1, 1 + burn + samples):
             m = m._replace(roots=summed(down, ROOTS, 1)[0])
