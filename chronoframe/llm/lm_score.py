@@ -4,9 +4,9 @@ Every token is a customer of the restaurant of its context, the whole token befo
 contexts share one parent, the unigram restaurant, whose customers are their tables and whose dishes come from a base
 over the V training types and one unknown type.  Seating is sampled by Gibbs on the present seating (``seating``): in
 each round every customer of every context is taken out and seated again, then the unigram restaurant gets the
-customers that have come or gone.  The first of BURN rounds seats everybody; each of SAMPLES rounds after them is a
-sample, in which the unigram restaurant reseats all of its own customers too.  Each restaurant's predictive
-probabilities are averaged over the samples.
+customers that have come or gone.  The first of BURN rounds seats everybody, and in those rounds the unigram
+restaurant reseats all of its own customers too; each of SAMPLES rounds after them is a sample.  Each restaurant's
+predictive probabilities are averaged over the samples.
 
 Layout: tokens are dealt by a hash of the pair (word before, word), so a frequent word or context is spread over all
 buckets.  Chunks of documents send each bucket one compressed block of their tokens; cells and scores both come
@@ -49,6 +49,7 @@ STRENGTH = 1.0
 #: Bytes of text that are taken in at a time, and of a chunk.
 PART_BYTES, CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 24 << 20, 60_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Kinds of rows: what a bucket and a home always keep, what they keep for the next round, and what they send.
 TEXT, IDS, CELLS, HOME, KEYS, SEATS, ROOTS, UP, DOWN = range(9)
 ROW = "bucket int, kind int, frm long, block binary, sums array<double>"
@@ -327,10 +328,11 @@ def root_share(m: Model) -> float:
     return (STRENGTH + m.d0 * m.roots) / (STRENGTH + m.tables)
 
 
-def home_round(x: Home, roots: bytes | None, ups: dict[int, bytes], m: Model, seed: list[int], keep: bool, last: bool) -> tuple[bytes, dict[int, bytes], list[float]]:
+def home_round(x: Home, roots: bytes | None, ups: dict[int, bytes], m: Model, seed: list[int], sweep: bool, keep: bool, last: bool) -> tuple[bytes, dict[int, bytes], list[float]]:
     """The unigram restaurant's words of this home after the buckets' round: its seating, what each bucket is told, its tables.
 
-    With ``keep`` the round is a sample; with ``last`` buckets are told the sums over the samples.
+    With ``sweep`` all customers are reseated, not only those that come; with ``keep`` the round is a sample; with
+    ``last`` buckets are told the sums over the samples.
     """
     tu, c = np.zeros(len(x.cu), np.int64), np.zeros(len(x.cw), np.int64)
     for k, blob in ups.items():
@@ -356,7 +358,7 @@ def home_round(x: Home, roots: bytes | None, ups: dict[int, bytes], m: Model, se
     seats = Seats(c, stay, z, m.d0, STRENGTH, np.zeros(len(c), np.int64), tables, np.arange(len(c)), c.astype(float), lambda col, above: np.full(len(col), m.known), seed)
     tables += seats.used.sum()
     seats.come()
-    if keep:
+    if sweep:
         seats.sweep()
     t = seats.used
     if keep:
@@ -538,13 +540,13 @@ def summed(rows: DataFrame, kind: int, n: int) -> list[float]:
     return [float(x or 0.0) for x in found]
 
 
-def at_homes(table: DataFrame, flow: DataFrame, m: Model, seed: int, keep: bool, last: bool) -> DataFrame:
+def at_homes(table: DataFrame, flow: DataFrame, m: Model, seed: int, sweep: bool, keep: bool, last: bool) -> DataFrame:
     """ROOTS and DOWN rows from ROOTS and UP (at first KEYS) rows."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = bucket_of(left, right)
         x = Home.read(of_kind(left, HOME)[own])
-        state, downs, sums = home_round(x, of_kind(right, ROOTS).get(own), of_kind(right, UP) or of_kind(right, KEYS), m, [seed, own], keep, last)
+        state, downs, sums = home_round(x, of_kind(right, ROOTS).get(own), of_kind(right, UP) or of_kind(right, KEYS), m, [seed, own], sweep, keep, last)
         give_back()
         return rows_of([(own, ROOTS, own, state, sums), *((k, DOWN, own, blob, None) for k, blob in downs.items())])
 
@@ -612,22 +614,23 @@ def score(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) -> DataFram
         return spark.table(name)
 
     # shuffle files are as large as the tables made of them and aren't needed once those are written
-    before = spark.conf.get(CLEANUP, "false")
+    before = {k: spark.conf.get(k, default) for k, default in ((CLEANUP, "false"), (BATCH, "10000"))}
     spark.conf.set(CLEANUP, "true")
     try:
         table = add(blocks(docs, buckets).repartition(buckets, "bucket"), "overwrite")
+        spark.conf.set(BATCH, "8")  # blocks are large, and a batch of them is held twice
         table = add(counted(table))
         table = add(homes(named(table, buckets)))
         m = model_of(*summed(table, HOME, 6), *summed(table, CELLS, 2))
         up, drawn = named(table, buckets), []
-        down = written(at_homes(table, up, m, 0, False, False), "lm-homes")
+        down = written(at_homes(table, up, m, 0, False, False, False), "lm-homes")
         for k in range(1, 1 + burn + samples):
             m = m._replace(roots=summed(down, ROOTS, 1)[0])
             keep = k > burn
             seats = up.where(F.col("kind") == SEATS)
             last, up = up, written(at_cells(table, down.unionByName(seats), m, 2 * k, buckets, keep), "lm-cells")
             m = m._replace(tables=summed(up, SEATS, 1)[0])
-            gone, down = down, written(at_homes(table, up.unionByName(down.where(F.col("kind") == ROOTS)), m, 2 * k + 1, keep, k == burn + samples), "lm-homes")
+            gone, down = down, written(at_homes(table, up.unionByName(down.where(F.col("kind") == ROOTS)), m, 2 * k + 1, not keep, keep, k == burn + samples), "lm-homes")
             dropped(spark, gone)
             if k > 1:
                 dropped(spark, last)
@@ -637,7 +640,8 @@ def score(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) -> DataFram
         dropped(spark, down)
         dropped(spark, up)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         delete(spark, path)
     return out
