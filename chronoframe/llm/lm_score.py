@@ -28,6 +28,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -104,8 +105,17 @@ def of_counts(x: np.ndarray) -> np.ndarray:
     return of_planes(x, "<u8").astype(np.int64)
 
 
+@lru_cache(1)
+def thrifty() -> None:
+    """From now on this process's large arrays are mapped one by one, so that what is freed goes back to the system at once."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+
+
 def give_back() -> None:
     """Free memory that Arrow and the C library keep for later goes back to the system."""
+    thrifty()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -462,6 +472,7 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
         chunk, parts, keys, ids, per, size, fresh = TaskContext.get().partitionId() << 32, [], [], [], [], 0, 0
 
         def taken_in() -> None:
@@ -528,6 +539,7 @@ def homes(keys: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         own = bucket_of(group)
+        give_back()
         x, sums = home_of(of_kind(group, KEYS))
         return rows_of([(own, HOME, own, x.pack(), sums)])
 
@@ -545,6 +557,7 @@ def at_homes(table: DataFrame, flow: DataFrame, m: Model, seed: int, sweep: bool
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = bucket_of(left, right)
+        give_back()
         x = Home.read(of_kind(left, HOME)[own])
         state, downs, sums = home_round(x, of_kind(right, ROOTS).get(own), of_kind(right, UP) or of_kind(right, KEYS), m, [seed, own], sweep, keep, last)
         give_back()
@@ -558,6 +571,7 @@ def at_cells(table: DataFrame, flow: DataFrame, m: Model, seed: int, buckets: in
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = bucket_of(left, right)
+        give_back()
         x = Cells.of(of_kind(left, CELLS)[own])
         state, ups, sums = leaf_round(x, of_kind(right, SEATS).get(own), of_kind(right, DOWN), m, [seed, own], buckets, keep)
         give_back()
@@ -575,6 +589,7 @@ def scored(table: DataFrame, flow: DataFrame, drawn: list[Model], buckets: int)
         kinds = left.column("kind").to_pylist()
         scorer = Scorer(Cells.of(left.column("block")[kinds.index(CELLS)].as_py()), of_kind(right, SEATS)[own], of_kind(right, DOWN), drawn, buckets)
         rows = [(own, TEXT, f, scorer.texts(b.as_py()), None) for k, f, b in zip(kinds, left.column("frm").to_pylist(), left.column("block"), strict=True) if k == TEXT]
+        del scorer
         give_back()
         return rows_of(rows)
 
@@ -583,6 +598,7 @@ def scored(table: DataFrame, flow: DataFrame, drawn: list[Model], buckets: int)
     train = int(drawn[0].tokens)
 
     def gather(group: pa.Table) -> pa.Table:
+        give_back()
         kinds, blobs, by = (group.column(c).to_pylist() for c in ("kind", "block", "bucket"))
         ids, there, n_tokens = unpack(blobs[kinds.index(IDS)])
         score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
