@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm.kernel import Flat, binary_list, combine, mix, ragged, slices
 from chronoframe.llm.seating import Seats
-from chronoframe.llm.storage import delete, dropped, new_path, partitions, small_batches, written
+from chronoframe.llm.storage import LARGE_VALUES, delete, dropped, new_path, partitions, small_batches, written
 
 #: A key is the upper 56 bits of a word's hash; 0 is a text's start.
 CUT = np.uint64(8)
@@ -50,7 +50,7 @@ STRENGTH = 1.0
 #: Bytes of text that are taken in at a time, and of a chunk.
 PART_BYTES, CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 24 << 20, 60_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, READ = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
 #: Kinds of rows: what a bucket and a home always keep, what they keep for the next round, and what they send.
 TEXT, IDS, CELLS, HOME, KEYS, SEATS, ROOTS, UP, DOWN = range(9)
 ROW = "bucket int, kind int, frm long, block binary, sums array<double>"
@@ -626,27 +626,29 @@ def score(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) -> DataFram
 
     def add(rows: DataFrame, mode: str = "append") -> DataFrame:
         """Rows that stay, bucketed by bucket, so that later steps read them without a shuffle."""
-        rows.write.format("parquet").mode(mode).bucketBy(buckets, "bucket").option("path", path).saveAsTable(name)
+        rows.write.format("parquet").options(**LARGE_VALUES).mode(mode).bucketBy(buckets, "bucket").option("path", path).saveAsTable(name)
         return spark.table(name)
 
     # shuffle files are as large as the tables made of them and aren't needed once those are written
-    before = {k: spark.conf.get(k, default) for k, default in ((CLEANUP, "false"), (BATCH, "10000"))}
+    before = {k: spark.conf.get(k, default) for k, default in ((CLEANUP, "false"), (BATCH, "10000"), (READ, "4096"))}
     spark.conf.set(CLEANUP, "true")
     try:
         table = add(blocks(docs, buckets).repartition(buckets, "bucket"), "overwrite")
-        spark.conf.set(BATCH, "8")  # blocks are large, and a batch of them is held twice
+        # blocks are large, and a batch of them is held twice
+        spark.conf.set(BATCH, "4")
+        spark.conf.set(READ, "16")
         table = add(counted(table))
         table = add(homes(named(table, buckets)))
         m = model_of(*summed(table, HOME, 6), *summed(table, CELLS, 2))
         up, drawn = named(table, buckets), []
-        down = written(at_homes(table, up, m, 0, False, False, False), "lm-homes")
+        down = written(at_homes(table, up, m, 0, False, False, False), "lm-homes", **LARGE_VALUES)
         for k in range(1, 1 + burn + samples):
             m = m._replace(roots=summed(down, ROOTS, 1)[0])
             keep = k > burn
             seats = up.where(F.col("kind") == SEATS)
-            last, up = up, written(at_cells(table, down.unionByName(seats), m, 2 * k, buckets, keep), "lm-cells")
+            last, up = up, written(at_cells(table, down.unionByName(seats), m, 2 * k, buckets, keep), "lm-cells", **LARGE_VALUES)
             m = m._replace(tables=summed(up, SEATS, 1)[0])
-            gone, down = down, written(at_homes(table, up.unionByName(down.where(F.col("kind") == ROOTS)), m, 2 * k + 1, not keep, keep, k == burn + samples), "lm-homes")
+            gone, down = down, written(at_homes(table, up.unionByName(down.where(F.col("kind") == ROOTS)), m, 2 * k + 1, not keep, keep, k == burn + samples), "lm-homes", **LARGE_VALUES)
             dropped(spark, gone)
             if k > 1:
                 dropped(spark, last)

@@ -1,13 +1,14 @@
 """Tables written to the folder that the cluster shares, and small helpers on sessions and columns.
 
-The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, as in tests, a folder
-under the warehouse's parent or the system's temporary one is set for the session.
+The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a local session gets a temporary
+folder of its own, and a cluster an error, as its executors share no local folder.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir isn't set; it must be a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="chronoframe-")
@@ -30,13 +34,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chronoframe/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+#: For rows of large values that are compressed already: no codec, whose buffers are as large as a page, and a row in a page.
+LARGE_VALUES = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def written(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
     """The table, written as Parquet to the shared folder and read from it: its lineage is cut, and a lost executor loses nothing of it."""
     path = path or new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
+    for made in _scratch[-1:]:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, written; what ``written`` wrote on the way there is removed."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        df = make()
+        path = new_path(spark, name)
+        df.write.parquet(path)
+    finally:
+        _scratch.remove(made)
+        for x in made:
+            delete(spark, x)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, or one made of it, that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared store."""
     jvm = spark.sparkContext._jvm
