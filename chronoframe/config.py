@@ -20,9 +20,11 @@ class EngineConfig:
     max_key_bytes: int = 400
     max_key_id: int = 10_000_000
     max_block_points: int = 32767
+    max_block_bytes: int = 32767
 
 
 DEFAULT = EngineConfig()
-#: Ownership states in their order.
-STATES = ("UNOWNED", "PRE_OWNED", "READING_KEYS", "READING_KEYS_DONE", "READING_LOGS", "PROCESSING_QUEUED_DATA_POINTS", "READING_BLOCK_DATA", "OWNED", "PRE_UNOWNED")
+#: Ownership states in their order.  A shard only goes to a later one, or from OWNED to PRE_UNOWNED.
+STATES = ("PRE_UNOWNED", "UNOWNED", "PRE_OWNED", "READING_KEYS", "READING_KEYS_DONE", "READING_LOGS", "PROCESSING_QUEUED_DATA_POINTS", "READING_BLOCK_DATA", "OWNED")
+#: States that serve reads, and take points in at once.
 READABLE = ("READING_BLOCK_DATA", "OWNED", "PRE_UNOWNED")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import chain, groupby, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions import bits
@@ -18,9 +18,9 @@ SERIES = ["shard_id", "key"]
 
 
 def timestamp_bits(points: DataFrame, window: int, default_delta: int) -> DataFrame:
-    """(…, dod, bits): the delta of deltas in each block and its bits; 32 for a block's first."""
+    """(…, dod, bits): the delta of deltas in each block (of a shard, key and bucket) and its bits; 32 for a block's first."""
     b = points.withColumn("bucket", bucket(F.col("ts"), window))
-    by = Window.partitionBy("key", "bucket").orderBy("ts", "arrival")
+    by = Window.partitionBy(*SERIES, "bucket").orderBy("ts", "arrival")
     b = b.withColumn("delta", F.col("ts") - F.lag("ts").over(by))
     before = F.when(F.row_number().over(by) == 2, F.lit(default_delta)).otherwise(F.lag("delta").over(by))
     b = b.withColumn("dod", F.col("delta") - before)
@@ -32,10 +32,10 @@ def timestamp_bits(points: DataFrame, window: int, default_delta: int) -> DataFr
 
 def xor_profile(points: DataFrame, window: int) -> DataFrame:
     """Of each value that differs from the one before it in its block: leading and trailing zero bits of the XOR."""
-    by = Window.partitionBy("key", "bucket").orderBy("ts", "arrival")
+    by = Window.partitionBy(*SERIES, "bucket").orderBy("ts", "arrival")
     b = points.withColumn("bucket", bucket(F.col("ts"), window)).withColumn("b", bits.double_bits(F.col("value")))
     x = F.col("b").bitwiseXOR(F.coalesce(F.lag("b").over(by), F.lit(0)))
-    return b.withColumn("x", x).where("x <> 0").select("key", "bucket", "ts", "arrival", bits.leading_zeros(F.col("x")).alias("leading"), bits.trailing_zeros(F.col("x")).alias("trailing"))
+    return b.withColumn("x", x).where("x <> 0").select(*SERIES, "bucket", "ts", "arrival", bits.leading_zeros(F.col("x")).alias("leading"), bits.trailing_zeros(F.col("x")).alias("trailing"))
 
 
 def log_bits(points: DataFrame, keys: DataFrame, span: int = SPAN) -> DataFrame:
@@ -61,10 +61,22 @@ BLOCKS = "shard_id int, key string, bucket long, count int, data binary"
 BLOCKS_AT_ONCE = 4096
 
 
+def _fits() -> Column:
+    return F.col("ts").between(0, (1 << 32) - 1) & F.col("value").isNotNull()
+
+
+def rejected(points: DataFrame) -> DataFrame:
+    """Points whose timestamp doesn't fit the 32 bits of a block, or that lack a value."""
+    return points.where(~F.coalesce(_fits(), F.lit(False)))
+
+
 def encode(points: DataFrame, window: int) -> DataFrame:
-    """Blocks of the points, one for each series and bucket; rows stream through sorted, so a task holds one block's points at a time."""
+    """Blocks of the points, one for each series and bucket; rows stream through sorted, so a task holds one block's points at a time.
+
+    Points that no block can hold, which ``rejected`` gives, are skipped.
+    """
     by = [*SERIES, "bucket"]
-    laid = points.withColumn("bucket", bucket(F.col("ts"), window)).select(*by, "ts", "arrival", "value").repartition(*by).sortWithinPartitions(*by, "ts", "arrival")
+    laid = points.where(_fits()).withColumn("bucket", bucket(F.col("ts"), window)).select(*by, "ts", "arrival", "value").repartition(*by).sortWithinPartitions(*by, "ts", "arrival")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = chain.from_iterable(zip(*(batch.column(c).to_pylist() for c in (*by, "ts", "value")), strict=True) for batch in batches)

@@ -1,5 +1,5 @@
-"""Range reads.  Both ends of a range are included; every read emits the bucket and the time predicate, so that a
-table laid out by bucket prunes folders and the time range prunes row groups."""
+"""Range reads.  Both ends of a range are included.  ``in_range`` and ``spanned`` emit the bucket and the time predicate, so
+that a table laid out by bucket prunes folders and the time range prunes row groups."""
 
 from __future__ import annotations
 
@@ -37,6 +37,34 @@ def get(points: DataFrame, requests: DataFrame, strict_keys: DataFrame | None =
     return joined.select("req_idx", *SERIES, "ts", "value", "arrival").orderBy("req_idx", "ts", "arrival")
 
 
+def spanned(points: DataFrame, requests: DataFrame, window: int, pushed_keys: int = 1000, keep: int | None = None) -> DataFrame:
+    """The points that any of the requests can ask for, by conditions that reach the scan: their shards, the time from the
+    earliest begin to the latest end with its buckets, and the keys if they are at most ``pushed_keys``.
+
+    With ``keep``, points more than so many buckets before their series' newest one are left out.  ``get`` on the result
+    gives what it gives on ``points``.
+    """
+    span = requests.agg(F.min("begin"), F.max("end"), F.collect_set("shard_id")).first()  # at most all shards
+    if not span[2] or span[0] is None or span[1] is None:
+        return points.limit(0)
+    own = points.where(F.col("shard_id").isin(*sorted(span[2])))
+    keys = [r[0] for r in requests.select("key").distinct().limit(pushed_keys + 1).collect()]
+    if len(keys) <= pushed_keys:
+        own = own.where(F.col("key").isin(*keys))
+    out = in_range(own, span[0], span[1], window)
+    if keep is not None:
+        newest = own.join(requests.select(*SERIES).distinct(), SERIES, "left_semi").groupBy(*SERIES).agg(F.max("bucket").alias("_new"))
+        out = out.join(newest, SERIES).where(F.col("bucket") >= F.col("_new") - keep).drop("_new")
+    return out
+
+
+def bucket_window(current: Column | int, keep: int, first: Column | int, last: Column | int) -> tuple[Column, Column]:
+    """A range of buckets, clamped to those that a series whose newest bucket is ``current`` keeps."""
+    now = F.lit(current) if isinstance(current, int) else current
+    first, last = (F.lit(x) if isinstance(x, int) else x for x in (first, last))
+    return F.greatest(first, now - keep), F.least(last, now)
+
+
 def get_lists(points: DataFrame, requests: DataFrame) -> DataFrame:
     """As ``get``, a row for each request: its points as an array in time order, empty where there are none."""
     hit = requests.join(points, SERIES).where(F.col("ts").between(F.col("begin"), F.col("end")))
@@ -55,9 +83,21 @@ def counts_in_range(keys: DataFrame, points: DataFrame, begin: int, end: int) ->
     return keys.select(*SERIES).join(some, SERIES, "left").select(*SERIES, F.coalesce("n", F.lit(0)).alias("n_points"))
 
 
-def bucket_range(points: DataFrame, first: Column | int, last: Column | int, window: int) -> DataFrame:
-    """Points of the buckets [first, last]."""
-    return points.withColumn("bucket", bucket(F.col("ts"), window)).where(F.col("bucket").between(first, last))
+def bucket_range(points: DataFrame, first: int, last: int, window: int, keep: int | None = None) -> DataFrame:
+    """Points of the buckets [first, last]; with ``keep``, of those only what each series keeps: its newest bucket and so many before.
+
+    A stored column ``bucket`` prunes folders; the time range is given too, so that row groups are skipped.
+    """
+    if "bucket" not in points.columns:
+        points = points.withColumn("bucket", bucket(F.col("ts"), window))
+    out = points.where(F.col("bucket").between(first, last))
+    if first > 1:
+        out = out.where(F.col("ts").between((first - 1) * window, last * window - 1))
+    if keep is not None:
+        newest = points.groupBy(*SERIES).agg(F.max("bucket").alias("_new"))
+        low, high = bucket_window(F.col("_new"), keep, first, last)
+        out = out.join(newest, SERIES).where(F.col("bucket").between(low, high)).drop("_new")
+    return out
 
 
 def first_points(points: DataFrame, n: int, begin: int, end: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.config import DEFAULT, READABLE, STATES
+from chronoframe.config import DEFAULT
 from chronoframe.functions import bits
 from chronoframe.functions import buckets as B
 from chronoframe.operators import admit, catalog, codec_stats, lifecycle, read
@@ -46,8 +46,10 @@ PK = f"WITH {_p()}, {KEYS} "
 
 REQUESTS = [(0, 3, "click:3", DAY0, DAY0 + 10 * 86400), (1, 7, "view:7", DAY0, DAY0 + 30 * 86400), (2, 9, "nothing:9", DAY0, NOW), (3, 1, "error:11", NOW, DAY0), (4, 3, "click:3", DAY0 + 86400, DAY0 + 86400 * 29), (5, 2, "signup:2", DAY0, DAY0 + 30 * 86400)]
 _REQUESTS = "r(req_idx, shard_id, key, b, e) AS (VALUES " + ", ".join(f"({i}, {s}, '{k}', {b}, {e})" for i, s, k, b, e in REQUESTS) + ")"
-_SHARDS = "s(shard_id, state) AS (VALUES " + ", ".join(f"({i}, '{STATES[i * 4 % 9]}')" for i in range(10)) + ")"
-_READABLE = "(" + ", ".join(f"'{x}'" for x in READABLE) + ")"
+# the SQL says for itself what the states are, in what order, and which are readable
+SHARD_STATES = ("PRE_UNOWNED", "READING_KEYS_DONE", "OWNED", "UNOWNED", "READING_LOGS", "READING_BLOCK_DATA", "OWNED", "PRE_OWNED", "OWNED", "PROCESSING_QUEUED_DATA_POINTS")
+_SHARDS = "s(shard_id, state) AS (VALUES (0, 'PRE_UNOWNED'), (1, 'READING_KEYS_DONE'), (2, 'OWNED'), (3, 'UNOWNED'), (4, 'READING_LOGS'), (5, 'READING_BLOCK_DATA'), (6, 'OWNED'), (7, 'PRE_OWNED'), (8, 'OWNED'), (9, 'PROCESSING_QUEUED_DATA_POINTS'))"
+_READABLE = "('OWNED', 'PRE_UNOWNED', 'READING_BLOCK_DATA')"
 
 
 def requests(spark: SparkSession) -> DataFrame:
@@ -55,7 +57,7 @@ def requests(spark: SparkSession) -> DataFrame:
 
 
 def shards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, STATES[i * 4 % 9]) for i in range(10)], "shard_id int, state string")
+    return spark.createDataFrame(list(enumerate(SHARD_STATES)), "shard_id int, state string")
 
 
 def pts(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
@@ -96,9 +98,10 @@ def known_key_empty_range(spark, d):
 _FIRST = DAY0 // W + 1
 
 
-@register(P + f"SELECT shard_id, key, ts, value, ts // {W} + 1 AS bucket FROM p WHERE ts // {W} + 1 BETWEEN {_FIRST + 24} AND {_FIRST + 60}")
+@register(P + f"SELECT shard_id, key, ts, value, bucket FROM (SELECT *, ts // {W} + 1 AS bucket, max(ts // {W} + 1) OVER (PARTITION BY shard_id, key) AS m FROM p WHERE ts < {DAY0 + 5 * 86400}) WHERE bucket BETWEEN {_FIRST + 24} AND {_FIRST + 60} AND bucket >= m - 13 AND bucket <= m")
 def bucket_range_scan(spark, d):
-    return read.bucket_range(pts(spark, d), _FIRST + 24, _FIRST + 60, W).select("shard_id", "key", "ts", "value", "bucket")
+    p = pts(spark, d).where(F.col("ts") < DAY0 + 5 * 86400)
+    return read.bucket_range(p, _FIRST + 24, _FIRST + 60, W, KEEP).select("shard_id", "key", "ts", "value", "bucket")
 
 
 @register(P + f"SELECT event_id, ts, ts // {W} + 1 AS bucket, (ts // {W}) * {W} AS bucket_start, ts // {W} AS n_buckets, (ts // {W}) * {W} AS floor_ts, CAST(13 * {W} AS BIGINT) AS kept_seconds FROM p")
@@ -189,13 +192,13 @@ def key_ids(spark, d):
     return catalog.key_ids(pts(spark, d))
 
 
-_RECORDS = "c AS (SELECT shard_id, event_id AS seq, CAST(event_id % 97 AS INTEGER) AS key_id, key, CAST(event_id % 5 AS INTEGER) AS category FROM p)"
+_RECORDS = "c AS (SELECT shard_id, event_id // 700 AS file_id, event_id AS seq, CAST(event_id % 97 AS INTEGER) AS key_id, key, CAST(event_id % 5 AS INTEGER) AS category FROM p), ok AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.shard_id = c.shard_id AND b.file_id = c.file_id AND b.seq <= c.seq AND b.key_id > 95))"
 
 
-@register(f"WITH {_p()}, {_RECORDS}, l AS (SELECT *, row_number() OVER (PARTITION BY shard_id, key_id ORDER BY seq DESC) AS n FROM c), m AS (SELECT *, row_number() OVER (PARTITION BY shard_id, key ORDER BY key_id) AS n2 FROM l WHERE n = 1) SELECT shard_id, seq, key_id, key, category FROM m WHERE n2 = 1")
+@register(f"WITH {_p()}, {_RECORDS}, l AS (SELECT *, row_number() OVER (PARTITION BY shard_id, key_id ORDER BY seq DESC) AS n FROM ok), m AS (SELECT *, row_number() OVER (PARTITION BY shard_id, key ORDER BY key_id) AS n2 FROM l WHERE n = 1) SELECT shard_id, seq, key_id, key, category FROM m WHERE n2 = 1")
 def key_list_dedup(spark, d):
-    records = pts(spark, d).selectExpr("shard_id", "event_id AS seq", "CAST(event_id % 97 AS INT) AS key_id", "key", "CAST(event_id % 5 AS INT) AS category")
-    return catalog.dedup_records(records, DEFAULT.max_key_bytes, DEFAULT.max_key_id)
+    records = pts(spark, d).selectExpr("shard_id", "event_id div 700 AS file_id", "event_id AS seq", "CAST(event_id % 97 AS INT) AS key_id", "key", "CAST(event_id % 5 AS INT) AS category")
+    return catalog.dedup_records(records, DEFAULT.max_key_bytes, 95).drop("file_id")
 
 
 @register(PK + ", h AS (SELECT * FROM k WHERE key_id % 3 <> 1) SELECT a.shard_id, CAST(a.i AS INTEGER) AS key_id FROM (SELECT shard_id, unnest(range(0, max(key_id) + 1)) AS i FROM h GROUP BY shard_id) a WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.shard_id = a.shard_id AND h.key_id = a.i)")
@@ -203,6 +206,12 @@ def free_ids(spark, d):
     return catalog.free_ids(catalog.key_ids(pts(spark, d)).where("key_id % 3 <> 1"))
 
 
+@register(PK + ", h AS (SELECT * FROM k WHERE key_id % 3 <> 1), f AS (SELECT shard_id, i, row_number() OVER (PARTITION BY shard_id ORDER BY i) AS n FROM (SELECT shard_id, unnest(range(0, max(key_id) + 1)) AS i FROM h GROUP BY shard_id) a WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.shard_id = a.shard_id AND h.key_id = a.i)), t AS (SELECT shard_id, max(key_id) + 1 AS top FROM h GROUP BY shard_id), c AS (SELECT shard_id, count(*) AS c FROM f GROUP BY shard_id), w AS (SELECT shard_id, 'new:' || key AS key, row_number() OVER (PARTITION BY shard_id ORDER BY min(arrival), 'new:' || key) AS n FROM p GROUP BY shard_id, key) SELECT w.shard_id, w.key, CAST(coalesce(f.i, t.top + w.n - 1 - coalesce(c.c, 0)) AS INTEGER) AS key_id FROM w LEFT JOIN f ON f.shard_id = w.shard_id AND f.n = w.n LEFT JOIN t ON t.shard_id = w.shard_id LEFT JOIN c ON c.shard_id = w.shard_id")
+def assigned_ids(spark, d):
+    p = pts(spark, d)
+    return catalog.assigned(catalog.key_ids(p).where("key_id % 3 <> 1"), p.withColumn("key", F.concat(F.lit("new:"), "key")))
+
+
 @register(PK + "SELECT shard_id, key, key_id FROM k WHERE NOT (shard_id = 3 AND key = 'click:3')")
 def erase_key(spark, d):
     return catalog.erase(catalog.key_ids(pts(spark, d)), spark.createDataFrame([(3, "click:3")], "shard_id int, key string"))
@@ -243,9 +252,11 @@ def finalize_buckets(spark, d):
     return lifecycle.finalize(bucket_counts(spark, d), _TARGET, _TARGET - 51)
 
 
-@register(f"WITH {_p()}, {_BLOCKS} SELECT shard_id, max(bucket) AS last_bucket, max(bucket) <> 0 AND {_FIRST + 355} > max(bucket) + 1 AS is_behind FROM b GROUP BY shard_id")
+@register(f"WITH {_p()}, {_SHARDS}, f AS (SELECT shard_id, max(ts // {W} + 1) AS last_finalized FROM p WHERE ts < {DAY0} + shard_id * 259200 GROUP BY shard_id) SELECT shard_id, last_finalized, state = 'OWNED' AND coalesce(last_finalized, 0) <> 0 AND {_FIRST + 355} > last_finalized + 1 AS is_behind FROM s LEFT JOIN f USING (shard_id)")
 def is_behind(spark, d):
-    return lifecycle.behind(bucket_counts(spark, d), _FIRST + 355)
+    done = pts(spark, d).where(F.col("ts") < F.lit(DAY0) + F.col("shard_id") * 259200)
+    done = done.groupBy("shard_id").agg(F.max(B.bucket(F.col("ts"), W)).alias("last_finalized"))
+    return lifecycle.behind(shards(spark).join(done, "shard_id", "left"), _FIRST + 355)
 
 
 @register(P + f"SELECT shard_id, key, ts, value, bucket FROM (SELECT *, ts // {W} + 1 AS bucket, max(ts // {W} + 1) OVER (PARTITION BY shard_id, key) AS m FROM p) WHERE bucket >= m - {KEEP}")
@@ -269,27 +280,41 @@ def missing_block_files(spark, d):
     return lifecycle.missing_files(pts(spark, d).select("shard_id", B.bucket(F.col("ts"), W).alias("id")).distinct())
 
 
-_GAPS = "g AS (SELECT shard_id, event_id, ts, m AS newest_before FROM (SELECT *, max(ts) OVER (PARTITION BY shard_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM p) WHERE ts - m > 600)"
+_START, _UP_TO = DAY0 + 2 * 86400, DAY0 + 31 * 86400  # where the last block begins, and the time of reading
+_GAPS = f"o AS (SELECT shard_id, event_id, ts, max(ts) OVER (PARTITION BY shard_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM p), a AS (SELECT shard_id, event_id, ts, CASE WHEN m > {_START} THEN m ELSE {_START} END AS newest_before FROM o UNION ALL SELECT shard_id, NULL, {_UP_TO}, CASE WHEN max(ts) > {_START} THEN max(ts) ELSE {_START} END FROM p GROUP BY shard_id), g AS (SELECT * FROM a WHERE ts - newest_before > 600 AND newest_before > 0)"
 
 
 @register(f"WITH {_p()}, {_GAPS} SELECT * FROM g")
 def missing_log_gaps(spark, d):
-    return lifecycle.log_gaps(pts(spark, d), DEFAULT.log_gap)
+    return lifecycle.log_gaps(pts(spark, d), DEFAULT.log_gap, start=_START, now=_UP_TO)
 
 
-@register(f"WITH {_p()}, {_GAPS} SELECT shard_id, max(ts) AS reliable_from FROM g GROUP BY shard_id")
+@register(f"WITH {_p()}, e AS (SELECT shard_id, max(ts) AS t FROM (SELECT shard_id, ts, max(ts) OVER (PARTITION BY shard_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM p WHERE shard_id < 7) WHERE ts - m > 600 AND m > 0 GROUP BY shard_id), h AS (SELECT DISTINCT shard_id FROM (SELECT shard_id, id, lead(id) OVER (PARTITION BY shard_id ORDER BY id) AS n FROM (SELECT DISTINCT shard_id, ts // {W} + 1 AS id FROM p)) WHERE n <> id + 1), q(shard_id, t) AS (VALUES (2, {_UP_TO + 5}), (8, {_UP_TO + 9})), s AS (SELECT shard_id FROM e UNION SELECT shard_id FROM h UNION SELECT shard_id FROM q) SELECT shard_id, CAST(coalesce(q.t, e.t, {_UP_TO}) AS BIGINT) AS reliable_from FROM s LEFT JOIN e USING (shard_id) LEFT JOIN q USING (shard_id)")
 def reliable_start(spark, d):
-    return lifecycle.reliable_from(lifecycle.log_gaps(pts(spark, d), DEFAULT.log_gap))
+    p = pts(spark, d)
+    queued = spark.createDataFrame([(2, _UP_TO + 5), (2, _UP_TO), (8, _UP_TO + 9)], "shard_id int, at long")
+    return lifecycle.reliable_from(lifecycle.log_gaps(p.where("shard_id < 7"), DEFAULT.log_gap), missing_block_files(spark, d), _UP_TO, queued)
 
 
 _FILE = f"(ts + (event_id % 3) * 600) - (ts + (event_id % 3) * 600) % {W}"
+# a file is read up to its first record outside [start of its bucket, start of the next one], if it starts no earlier than the last block
+_REPLAY = f"l AS (SELECT *, {_FILE} AS file_ts FROM p), c AS (SELECT *, sum(CASE WHEN ts < file_ts // {W} * {W} OR ts > (file_ts // {W} + 1) * {W} THEN 1 ELSE 0 END) OVER (PARTITION BY shard_id, file_ts ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_bad FROM l WHERE file_ts >= {DAY0 + 100 * W}), t AS (SELECT shard_id, key, ts, event_id, key NOT LIKE 'view:%' AS known FROM c WHERE n_bad = 0)"
 
 
-@register(P + f"SELECT shard_id, key, ts, event_id, key NOT LIKE 'view:%' AS known FROM (SELECT *, {_FILE} AS file_ts FROM p) WHERE file_ts // {W} + 1 > {_FIRST + 100} AND ts // {W} = file_ts // {W}")
-def log_replay_filter(spark, d):
+def _replay(spark, d) -> DataFrame:
     p = pts(spark, d).withColumn("file_ts", F.expr(_FILE))
     keys = p.where("key NOT LIKE 'view:%'").select("shard_id", "key")
-    return lifecycle.replayed(p, keys, W, _FIRST + 100).select("shard_id", "key", "ts", "event_id", "known")
+    return lifecycle.replayed(p, keys, W, _FIRST + 100)
+
+
+@register(f"WITH {_p()}, {_REPLAY} SELECT * FROM t")
+def log_replay_filter(spark, d):
+    return _replay(spark, d).select("shard_id", "key", "ts", "event_id", "known")
+
+
+@register(f"WITH {_p()}, {_REPLAY} SELECT shard_id, count(*) AS n_records, count(*) FILTER (WHERE NOT known) AS n_unknown FROM t GROUP BY shard_id")
+def unknown_keys(spark, d):
+    return lifecycle.unknown_keys(_replay(spark, d))
 
 
 @register(PJ + f"SELECT shard_id, event_id, first_value(ts) OVER (PARTITION BY shard_id, ts // {W} ORDER BY arrival, event_id) AS file_ts FROM p")
@@ -297,10 +322,10 @@ def log_file_assignment(spark, d):
     return lifecycle.log_files(pts(spark, d, jitter=JITTER), W).select("shard_id", "event_id", "file_ts")
 
 
-_STATES = "st(r, state) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(STATES)) + ")"
+_STATES = "st(r, state) AS (VALUES (0, 'PRE_UNOWNED'), (1, 'UNOWNED'), (2, 'PRE_OWNED'), (3, 'READING_KEYS'), (4, 'READING_KEYS_DONE'), (5, 'READING_LOGS'), (6, 'PROCESSING_QUEUED_DATA_POINTS'), (7, 'READING_BLOCK_DATA'), (8, 'OWNED'))"
 
 
-@register(f"WITH {_STATES} SELECT a.state AS from_state, b.state AS to_state, b.r > a.r AS set_state, a.state = 'PRE_UNOWNED' AND b.state = 'OWNED' AS cancel_unowning FROM st a CROSS JOIN st b")
+@register(f"WITH {_STATES} SELECT a.state AS from_state, b.state AS to_state, b.r > a.r OR (a.r = 8 AND b.r = 0) AS set_state, a.r = 0 AND b.r = 8 AS cancel_unowning FROM st a CROSS JOIN st b")
 def state_transitions(spark, d):
     return lifecycle.state_transitions(spark)
 
@@ -310,22 +335,24 @@ def shard_reload_plan(spark, d):
     return lifecycle.reload_plan(shards(spark), spark.createDataFrame([(1,), (3,), (5,), (7,)], "shard_id int"))
 
 
-@register(PT + "SELECT key, ts // 864000 AS bucket, count(*) AS n_points FROM p GROUP BY ALL HAVING count(*) > 100")
+@register(PT + "SELECT key, n_points, ts_block, n_points > 32767 AS refused FROM (SELECT key, ts // 2678400 AS ts_block, count(*) AS n_points FROM (SELECT 'all' AS key, ts FROM p UNION ALL SELECT 'twice', ts FROM p UNION ALL SELECT 'twice', ts FROM p UNION ALL SELECT key, ts FROM p) GROUP BY ALL)")
 def oversize_blocks(spark, d):
-    b = F.call_function("div", F.col("ts"), F.lit(864000)).alias("bucket")
-    return pts(spark, d, by_user=False).groupBy("key", b).agg(F.count(F.lit(1)).alias("n_points")).where("n_points > 100")
+    p = pts(spark, d, by_user=False).withColumn("key", F.explode(F.array(F.lit("all"), F.lit("twice"), F.lit("twice"), "key")))
+    found = p.groupBy("key", F.call_function("div", F.col("ts"), F.lit(2678400)).alias("ts_block")).agg(F.count(F.lit(1)).alias("n_points"))
+    big = lifecycle.oversize(found, DEFAULT.max_block_points).select("key", "ts_block", F.lit(True).alias("_big"))
+    return found.join(big, ["key", "ts_block"], "left").select("key", "n_points", "ts_block", F.col("_big").isNotNull().alias("refused"))
 
 
 # -- what the formats cost ---------------------------------------------------------------------------------------
 
 
-@register(PT + f", a AS (SELECT *, ts // {W} + 1 AS bucket, ts - lag(ts) OVER w AS delta, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY key, ts // {W} ORDER BY ts, arrival)), c AS (SELECT *, delta - CASE WHEN n = 2 THEN 60 ELSE lag(delta) OVER (PARTITION BY key, bucket ORDER BY ts, arrival) END AS dod FROM a) SELECT key, bucket, count(*) AS n_points, CAST(sum(CASE WHEN dod IS NULL THEN 32 WHEN dod = 0 THEN 1 WHEN dod BETWEEN -63 AND 64 THEN 9 WHEN dod BETWEEN -255 AND 256 THEN 12 WHEN dod BETWEEN -2047 AND 2048 THEN 16 ELSE 36 END) AS BIGINT) AS bits FROM c GROUP BY key, bucket")
+@register(PT + f", a AS (SELECT *, ts // {W} + 1 AS bucket, ts - lag(ts) OVER w AS delta, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY shard_id, key, ts // {W} ORDER BY ts, arrival)), c AS (SELECT *, delta - CASE WHEN n = 2 THEN 60 ELSE lag(delta) OVER (PARTITION BY shard_id, key, bucket ORDER BY ts, arrival) END AS dod FROM a) SELECT shard_id, key, bucket, count(*) AS n_points, CAST(sum(CASE WHEN dod IS NULL THEN 32 WHEN dod = 0 THEN 1 WHEN dod BETWEEN -63 AND 64 THEN 9 WHEN dod BETWEEN -255 AND 256 THEN 12 WHEN dod BETWEEN -2047 AND 2048 THEN 16 ELSE 36 END) AS BIGINT) AS bits FROM c GROUP BY shard_id, key, bucket")
 def timestamp_delta_classes(spark, d):
     b = codec_stats.timestamp_bits(pts(spark, d, by_user=False), W, DEFAULT.default_delta)
-    return b.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n_points"), F.sum("bits").alias("bits"))
+    return b.groupBy("shard_id", "key", "bucket").agg(F.count(F.lit(1)).alias("n_points"), F.sum("bits").alias("bits"))
 
 
-@register(PT + f", a AS (SELECT key, ts // {W} + 1 AS bucket, ts, arrival, CAST(xor(value::DOUBLE::BIT, COALESCE(lag(value::DOUBLE::BIT) OVER (PARTITION BY key, ts // {W} ORDER BY ts, arrival), 0::DOUBLE::BIT)) AS VARCHAR) AS x FROM p) SELECT key, bucket, ts, arrival, CAST(instr(x, '1') - 1 AS INTEGER) AS leading, CAST(instr(reverse(x), '1') - 1 AS INTEGER) AS trailing FROM a WHERE instr(x, '1') > 0")
+@register(PT + f", a AS (SELECT shard_id, key, ts // {W} + 1 AS bucket, ts, arrival, CAST(xor(value::DOUBLE::BIT, COALESCE(lag(value::DOUBLE::BIT) OVER (PARTITION BY shard_id, key, ts // {W} ORDER BY ts, arrival), 0::DOUBLE::BIT)) AS VARCHAR) AS x FROM p) SELECT shard_id, key, bucket, ts, arrival, CAST(instr(x, '1') - 1 AS INTEGER) AS leading, CAST(instr(reverse(x), '1') - 1 AS INTEGER) AS trailing FROM a WHERE instr(x, '1') > 0")
 def value_xor_profile(spark, d):
     return codec_stats.xor_profile(pts(spark, d, by_user=False), W)
 

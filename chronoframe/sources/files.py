@@ -28,7 +28,7 @@ LOG_DELTA_BITS = (0, 7, 14, 32)  # by the ones of the control bits; what is stor
 RECORD_BYTES = 18
 ROWS_AT_ONCE = 65536
 
-KEYS = "shard_id int, file_id long, seq long, key_id int, key string, category int"
+KEYS = "shard_id int, file_id long, seq long, key_id int, key binary, category int"
 LOGS = "shard_id int, file_ts long, seq long, key_id long, ts long, value double"
 BLOCKS = "shard_id int, bucket long, key_id long, count int, data binary"
 
@@ -49,8 +49,8 @@ def completed(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(int(s), int(n)) for s, n in names if s.isdigit() and n.isdigit()], "shard_id int, file_id long")
 
 
-def key_records(raw: bytes) -> Iterator[tuple[int, str, int]]:
-    """(key_id, key, category) of each whole record of a key list; files without a known mark have none."""
+def key_records(raw: bytes) -> Iterator[tuple[int, bytes, int]]:
+    """(key_id, key, category) of each whole record of a key list; files without a known mark have none.  Keys are any bytes."""
     mark = raw[:1]
     if mark not in (PLAIN_MARK, CATEGORY_MARK):
         return
@@ -61,10 +61,15 @@ def key_records(raw: bytes) -> Iterator[tuple[int, str, int]]:
         at += head.size
         if at + size > len(raw):
             return
-        yield key_id, raw[at : at + size].decode("utf-8", "replace"), category[0] if category else 0
+        yield key_id, raw[at : at + size], category[0] if category else 0
         at += size
 
 
+def key_bytes(records: list[tuple[int, bytes, int]]) -> bytes:
+    """A key list of (key_id, key, category) records."""
+    return CATEGORY_MARK + b"".join(struct.pack(">iHI", key_id, category, len(key)) + key for key_id, key, category in records)
+
+
 def block_records(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(key_id, count, data) of each block of a block file; ValueError where its length is wrong."""
     if len(raw) < 8:
@@ -171,48 +176,42 @@ def log_bytes(records: list[tuple[int, int, float]], base: int) -> bytes:
     return b"".join(out)
 
 
-def _exploded(files: DataFrame, fields: str, rows_of: Callable[[bytes], Iterator[tuple]], row: Callable[[int, int, int, tuple], tuple]) -> DataFrame:
-    """A row for each record of each file."""
+def _exploded(files: DataFrame, fields: str, rows_of: Callable[[int, bytes], Iterator[tuple]], row: Callable[[int, int, int, tuple], tuple]) -> DataFrame:
+    """A row for each record of each file; records come from the file's number and content."""
     arrow = files.sparkSession.createDataFrame([], fields).toArrow().schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, file, raw in zip(*(batch.column(c) for c in ("shard_id", "file_id", "content")), strict=True):
                 s, f = shard.as_py(), file.as_py()
-                rows = [row(s, f, k, x) for k, x in enumerate(rows_of(raw.as_py()))]
-                cols = list(zip(*rows, strict=True)) or [()] * len(arrow)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], names=arrow.names)
+                found = enumerate(rows_of(f, raw.as_py()))
+                while part := list(islice(found, ROWS_AT_ONCE)):
+                    cols = zip(*(row(s, f, k, x) for k, x in part), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], names=arrow.names)
 
-    return files.mapInArrow(run, fields)
+    return files.select("shard_id", "file_id", "content").mapInArrow(run, fields)
 
 
 def read_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Records of all key lists but number 0, which is an unfinished one; ``seq`` ascends as they were written."""
     files = listed(spark, folder, KEY_PREFIX).where("file_id > 0")
-    return _exploded(files, KEYS, key_records, lambda s, f, k, x: (s, f, f << 32 | k, *x))
+    return _exploded(files, KEYS, lambda _, raw: key_records(raw), lambda s, f, k, x: (s, f, f << 32 | k, *x))
 
 
 def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of the files that have a completion mark beside them; a file's number is its bucket."""
     files = listed(spark, folder, BLOCK_PREFIX).join(completed(spark, folder), ["shard_id", "file_id"], "left_semi")
-    return _exploded(files.select("shard_id", "file_id", "content"), BLOCKS, block_records, lambda s, f, _, x: (s, f, *x))
+    return _exploded(files, BLOCKS, lambda _, raw: block_records(raw), lambda s, f, _, x: (s, f, *x))
 
 
 def read_logs(spark: SparkSession, folder: str) -> DataFrame:
     """Records of all log files; a file's number is the timestamp that it starts from, and ``seq`` ascends in it."""
-    files = listed(spark, folder, LOG_PREFIX).select("shard_id", "file_id", "content")
-    arrow = spark.createDataFrame([], LOGS).toArrow().schema
+    return _exploded(listed(spark, folder, LOG_PREFIX), LOGS, lambda base, raw: log_records(raw, base), lambda s, f, k, x: (s, f, k, *x))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, file, raw in zip(*(batch.column(c) for c in ("shard_id", "file_id", "content")), strict=True):
-                s, f = shard.as_py(), file.as_py()
-                found = enumerate(log_records(raw.as_py(), f))
-                while part := list(islice(found, ROWS_AT_ONCE)):
-                    cols = zip(*((s, f, k, *x) for k, x in part), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], names=arrow.names)
 
-    return files.mapInArrow(run, LOGS)
+def keyed(blocks: DataFrame, keys: DataFrame) -> DataFrame:
+    """Blocks, or what else has (shard_id, key_id), with the key of their series; those of unknown ids are left out."""
+    return blocks.join(keys.select("shard_id", "key_id", "key"), ["shard_id", "key_id"])
 
 
 def points_of(blocks: DataFrame, default_delta: int = 60) -> DataFrame:

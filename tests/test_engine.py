@@ -135,7 +135,6 @@ def test_closing_and_retention(spark):
     found = spark.createDataFrame([(1, "a", b, 1) for b in range(1, 12)], "shard_id int, key string, bucket long, n_points long")
     assert sorted(r.bucket for r in lifecycle.finalize(found, 5).collect()) == [5]
     assert sorted(r.bucket for r in lifecycle.finalize(found, 5, 2).collect()) == [3, 4, 5]
-    assert {r.is_behind for r in lifecycle.behind(found, 12).collect()} == {False} and {r.is_behind for r in lifecycle.behind(found, 13).collect()} == {True}
 
 
 def test_synthetic_series(spark):
@@ -214,3 +213,85 @@ def test_log_deltas_over_blocks(spark):
     keys = spark.createDataFrame([(s, f"k{k}", k) for s in (0, 1) for k in range(5)], "shard_id int, key string, key_id int")
     for span in (1, 7, 1000):
         assert {r.event_id: r.delta for r in codec_stats.log_bits(p, keys, span).collect()} == want
+
+
+def test_profiles_keep_shards_apart(spark):
+    """Two shards with one key have blocks of their own."""
+    rows = [(shard, "k", 60 * k + shard, 1.0 + k, 2 * k + shard, 0) for k in range(3) for shard in (0, 1)]
+    p = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.delta for r in codec_stats.timestamp_bits(p, 7200, 60).where("delta IS NOT NULL").collect()) == [60] * 4
+    assert codec_stats.xor_profile(p, 7200).count() == 6
+
+
+def test_points_that_no_block_holds(spark):
+    p = points(spark, [(-5, 1.0), (10, 2.0), (2**32, 3.0)])
+    assert [r.ts for r in codec_stats.decode(codec_stats.encode(p, 7200)).collect()] == [10]
+    assert sorted(r.ts for r in codec_stats.rejected(p).collect()) == [-5, 2**32]
+
+
+def test_state_changes(spark):
+    for now, to in (("PRE_UNOWNED", "UNOWNED"), ("UNOWNED", "PRE_OWNED"), ("PRE_OWNED", "OWNED"), ("OWNED", "PRE_UNOWNED"), ("READING_BLOCK_DATA", "OWNED")):
+        assert lifecycle.checked_transition(now, to) == to
+    for now, to in (("UNOWNED", "PRE_UNOWNED"), ("OWNED", "UNOWNED"), ("OWNED", "OWNED"), ("READING_LOGS", "READING_KEYS")):
+        with pytest.raises(ValueError):
+            lifecycle.checked_transition(now, to)
+    assert lifecycle.state_transitions(spark).where("set_state").count() == 9 * 8 // 2 + 1
+
+
+def test_replay_ends_a_file_at_its_first_bad_record(spark):
+    log = [(1, 7200, "a", 7200, 0), (1, 7200, "a", 14400, 1), (1, 7200, "a", 14401, 2), (1, 7200, "a", 7300, 3), (1, 14400, "b", 14400, 4), (1, 100, "a", 100, 5), (1, 7300, "a", 7299, 6), (1, 7300, "a", 7199, 7)]
+    rows = spark.createDataFrame([(*x, 0) for x in log], "shard_id int, file_ts long, key string, ts long, arrival long, event_id long")
+    keys = spark.createDataFrame([(1, "a")], "shard_id int, key string")
+    # the next bucket's first second counts; the file of the last block is read, those before it aren't
+    assert sorted((r.arrival, r.known) for r in lifecycle.replayed(rows, keys, 7200, 2).collect()) == [(0, True), (1, True), (4, False), (6, True)]
+    assert sorted(r.arrival for r in lifecycle.replayed(rows, keys, 7200, 0).collect()) == [0, 1, 4, 5, 6]
+    assert [tuple(r) for r in lifecycle.unknown_keys(lifecycle.replayed(rows, keys, 7200, 2)).collect()] == [(1, 4, 1)]
+
+
+def test_gaps_from_the_last_block_and_up_to_now(spark):
+    log = points(spark, [(1000, 1.0), (900, 1.0), (1700, 1.0)], shard=1)
+    gaps = lambda **how: sorted((r.ts, r.newest_before) for r in lifecycle.log_gaps(log, 600, **how).collect())
+    assert gaps() == [(1700, 1000)]  # nothing is missing before the first record of a shard without blocks
+    assert gaps(start=300) == [(1000, 300), (1700, 1000)] and gaps(start=1100, now=2300) == [] and gaps(now=2301) == [(1700, 1000), (2301, 1700)]
+    holes = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "shard_id int, n_holes long")
+    queued = spark.createDataFrame([(4, 50), (2, 60)], "shard_id int, at long")
+    found = lifecycle.reliable_from(lifecycle.log_gaps(log, 600), holes, 5000, queued)
+    assert {r.shard_id: r.reliable_from for r in found.collect()} == {1: 1700, 2: 60, 4: 50}
+
+
+def test_behind_counts_finalized_buckets_of_owned_shards(spark):
+    rows = [(1, "OWNED", 5), (2, "OWNED", 8), (3, "OWNED", 0), (4, "OWNED", None), (5, "PRE_UNOWNED", 5), (6, "OWNED", 9)]
+    shards = spark.createDataFrame(rows, "shard_id int, state string, last_finalized long")
+    assert [r.shard_id for r in lifecycle.behind(shards, 10).where("is_behind").orderBy("shard_id").collect()] == [1, 2]
+
+
+def test_block_limits(spark):
+    blocks = spark.createDataFrame([(1, 32767, 32767), (2, 32768, 10), (3, 10, 32768)], "id int, n_points long, n_bytes long")
+    assert [r.id for r in lifecycle.oversize(blocks, DEFAULT.max_block_points, DEFAULT.max_block_bytes).orderBy("id").collect()] == [2, 3]
+    assert [r.id for r in lifecycle.oversize(blocks, DEFAULT.max_block_points).collect()] == [2]
+
+
+def test_bad_records_end_their_file(spark):
+    rows = [(1, 1, 0, 5, "a", 0), (1, 1, 1, 6, "x" * 400, 0), (1, 1, 2, 7, "lost", 0), (1, 2, 3, 8, "b", 0), (1, 2, 4, 10_000_001, "big", 0), (1, 2, 5, 9, "lost too", 0), (2, 1, 6, 1, "c", 0)]
+    records = spark.createDataFrame(rows, "shard_id int, file_id long, seq long, key_id int, key string, category int")
+    assert {r.key for r in catalog.dedup_records(records, DEFAULT.max_key_bytes, DEFAULT.max_key_id).collect()} == {"a", "b", "c"}
+
+
+def test_ids_in_blocks_of_arrivals(spark):
+    p = spark.createDataFrame([(1, f"k{k % 40:02d}", k, 1.0, k * 37 % 101, k) for k in range(100)], SCHEMA)
+    want = {(r.key, r.key_id) for r in catalog.key_ids(p).collect()}
+    assert {(r.key, r.key_id) for r in catalog.key_ids(p, span=7).collect()} == want and len(want) == 40
+    catalog_ = spark.createDataFrame([(1, 1), (1, 4)], "shard_id int, key_id int")
+    fresh = spark.createDataFrame([(1, "n1", 5), (1, "n2", 3), (1, "n3", 9), (1, "n4", 11), (2, "m", 1)], "shard_id int, key string, arrival long")
+    assert {(r.shard_id, r.key): r.key_id for r in catalog.assigned(catalog_, fresh).collect()} == {(1, "n2"): 0, (1, "n1"): 2, (1, "n3"): 3, (1, "n4"): 5, (2, "m"): 0}
+
+
+def test_timer():
+    from chronoframe.timer import Timer
+
+    with Timer() as t:
+        pass
+    first = t.total
+    assert t.start().stop() >= first >= 0
+    t.reset()
+    assert t.total == 0 and Timer(running=True).stop() >= 0
