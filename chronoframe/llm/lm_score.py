@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm.kernel import Flat, binary_list, combine, mix, ragged, slices
 from chronoframe.llm.seating import Seats
-from chronoframe.llm.storage import LARGE_VALUES, delete, dropped, new_path, partitions, small_batches, written
+from chronoframe.llm.storage import LARGE_VALUES, delete, dropped, new_path, small_batches, written
 
 #: A key is the upper 56 bits of a word's hash; 0 is a text's start.
 CUT = np.uint64(8)
@@ -49,8 +49,10 @@ BURN, SAMPLES = 1, 3
 STRENGTH = 1.0
 #: Bytes of text that are taken in at a time, and of a chunk.
 PART_BYTES, CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 24 << 20, 60_000
+#: Bytes of text of a bucket.
+BUCKET_BYTES = 16 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH, READ = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+PARTITIONS, BATCH, READ = "spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
 #: Kinds of rows: what a bucket and a home always keep, what they keep for the next round, and what they send.
 TEXT, IDS, CELLS, HOME, KEYS, SEATS, ROOTS, UP, DOWN = range(9)
 ROW = "bucket int, kind int, frm long, block binary, sums array<double>"
@@ -620,7 +622,9 @@ def scored(table: DataFrame, flow: DataFrame, drawn: list[Model], buckets: int)
 def score(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) -> DataFrame:
     """Learns from the training folds of ``docs`` and scores all its documents.  Working tables are removed."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    # by the text, not the session's partitions, as every bucket sends every home a block
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
     name = f"lm_blocks_{uuid.uuid4().hex}"
     path = new_path(spark, name)
 
@@ -630,8 +634,9 @@ def score(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES) -> DataFram
         return spark.table(name)
 
     # shuffle files are as large as the tables made of them and aren't needed once those are written
-    before = {k: spark.conf.get(k, default) for k, default in ((CLEANUP, "false"), (BATCH, "10000"), (READ, "4096"))}
+    before = {k: spark.conf.get(k, default) for k, default in ((CLEANUP, "false"), (BATCH, "10000"), (READ, "4096"), (PARTITIONS, "200"))}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(PARTITIONS, str(buckets))  # so that what meets the bucketed table is dealt as it is
     try:
         table = add(blocks(docs, buckets).repartition(buckets, "bucket"), "overwrite")
         # blocks are large, and a batch of them is held twice
