@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
 from chronoframe.llm.kernel import Flat, binary_list, combine, mix, ragged, slices
-from chronoframe.llm.storage import delete, new_path, partitions, small_batches, written
+from chronoframe.llm.storage import delete, fresh, new_path, partitions, small_batches, written
 
 MIN_POINTS = 10
 #: Batches that ``dedup`` deals a whole table into, and runs of a level that are merged.
@@ -199,12 +199,14 @@ def without(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
     """Takes the lines whose keys are in (_doc, _drop) out of the texts."""
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    joined = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    joined = joined.join(by_doc.hint("shuffle_hash"), F.col("_key") == F.col("_doc"), "left").select(*names, "_drop")
+    key, doc, drop = (fresh(x, names) for x in ("_key", "_doc", "_drop"))
+    by_doc = by_doc.select(F.col("_doc").alias(doc), F.col("_drop").alias(drop))
+    joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    joined = joined.join(by_doc.hint("shuffle_hash"), F.col(key) == F.col(doc), "left").select(*names, drop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = binary_list(batch.column("text")), batch.column("_drop").to_pylist()
+            texts, gone = binary_list(batch.column("text")), batch.column(drop).to_pylist()
             for a, b in slices(texts):
                 part = texts[a:b]
                 _, d, counts, h1, _ = lines_of(part)
