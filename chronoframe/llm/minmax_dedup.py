@@ -17,9 +17,9 @@ keys under which documents meet.
 No group is gathered in one task, and no bucket's pairs are all emitted.  A pair at the threshold
 shares no band with probability (1 - s**ROWS)**BANDS, see ``bands_for``.
 
-Documents without words (null or empty) have an empty set and are linked with nothing.  Rows that share
-a doc_id are told apart by their sets' hashes only, so a doc_id should be unique; null ids are linked
-with nothing and keep component null.
+Documents without words (null or empty) have an empty set and are linked with nothing; null ids are linked
+with nothing and keep component null.  Rows that share a doc_id are one document, so their classes are in one
+component; the row of the smallest set (by size, then hashes) is compared with others.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm.components import components
 from chronoframe.llm.kernel import SLICE_BYTES, binary_list, combine, mix, shingles, slices, tokens
-from chronoframe.llm.storage import partitions, small_batches, written
+from chronoframe.llm.storage import fresh, partitions, small_batches, written
 
 ROWS = 4
 #: Bands are as many as keep the chance of missing a pair at the threshold under this.
@@ -77,7 +77,7 @@ def sets_of(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, k: int, bands: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, keys): the set's size, its 128-bit fingerprint and its band keys."""
+    """(doc_id, n_shingles, f1, f2, keys, h): the set's size, its 128-bit fingerprint and its band keys, and the text's hash."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,11 +96,11 @@ def sketch(docs: DataFrame, k: int, bands: int) -> DataFrame:
                         f[0, some] = np.add.reduceat(mix(x + np.uint64(1)), cut[:-1][some])
                         f[1, some] = np.add.reduceat(mix(x + np.uint64(2)), cut[:-1][some])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "f1", "f2", "keys"],
+                    [ids.slice(a, b - a).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), pa.array(keys, pa.list_(pa.int64())), batch.column("h").slice(a, b - a)],
+                    names=["doc_id", "n_shingles", "f1", "f2", "keys", "h"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, h long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -196,11 +196,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     named = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     # the representatives' band keys: doc_id is its class's smallest
-    keys = named.join(classes.select(F.col("rep")), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    leaders_rows = named.join(classes.select(F.col("rep")), F.col("doc_id") == F.col("rep"), "left_semi")
+    one = leaders_rows.groupBy("doc_id").agg(F.min_by(F.struct("keys", "h"), F.struct("n_shingles", "f1", "f2", "h")).alias("r"))
+    keys = one.select(F.col("doc_id").alias("id"), "r.h", F.explode("r.keys").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = written(keys.join(leaders, "key"), "buckets")  # key, id, leader, n
-    ids = met.select(F.col("id").alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).repartition(partitions(spark), "doc_id"), "candidates")
+    met = written(keys.join(leaders, "key"), "buckets")  # key, id, h, leader, n
+    ids = met.select(F.col("id").alias("doc_id"), "h").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).join(ids.hint("shuffle_hash"), ["doc_id", "h"], "left_semi")
+    texts = written(texts.dropDuplicates(["doc_id"]).select("doc_id", "text").repartition(partitions(spark), "doc_id"), "candidates")
     stars = met.where("id <> leader").select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
     links = written(confirmed(stars, texts, k, num, den), "links")
     comps = written(components(links), "components")
@@ -250,5 +253,6 @@ def _labelled(found: DataFrame, of_class: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, whole: one of each component."""
-    gone = near_duplicates(docs, k, num, den).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = fresh("_gone", docs.columns)
+    gone = near_duplicates(docs, k, num, den).where("NOT kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_anti")

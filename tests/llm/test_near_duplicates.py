@@ -65,6 +65,20 @@ def test_null_ids_and_empty_table(spark):
     assert M.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(5, base), (5, "quite another text of some words here"), (8, base), (9, "quite another text of some words here"), (3, "alone in this table of texts"), (5, base)]
+    for n in (1, 3):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect())
+        assert got == [(3, 2, 3), (5, 3, 5), (5, 36, 5), (5, 36, 5), (8, 36, 5), (9, 3, 5)]
+
+
+def test_keep_beside_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "x y")], "doc_id long, text string").selectExpr("*", "'g' AS _gone", "1 AS _gone_", "2 AS h", "3 AS keys", "4 AS component_id")
+    kept = M.keep(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == docs.columns and {r._gone for r in kept.collect()} == {"g"}
+
+
 def test_components(spark):
     path = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (200, 201), (201, 200), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path, "u long, v long")).collect()}
