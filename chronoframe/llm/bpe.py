@@ -16,7 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.kernel import binary_list
-from chronoframe.llm.storage import partitions, written
+from chronoframe.llm.storage import partitions
 from chronoframe.llm.textmap import add_columns
 
 #: Characters of a chunk and of the overlap with the next.
@@ -175,29 +175,75 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def long_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """As ``digests``, for long texts: a task for some chunks, then the stitching, text by text."""
+    """As ``digests``, for long texts: a task for some chunks, then the stitching, text by text, then a task for some
+    stitched stretches; a text's digests take its stretches in turn and hold one at a time."""
     n = partitions(docs.sparkSession)
     docs = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    starts = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(CHUNK)))
-    chunks = docs.dropDuplicates(["_key"]).select("_key", "text", starts.alias("_at"))
-    chunks = chunks.select("_key", "_at", F.substring("text", F.col("_at") + 1, F.lit(CHUNK + OVERLAP)).alias("text")).repartition(n, "_key", "_at")
+    one = docs.dropDuplicates(["_key"]).select("_key", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, raw in zip(batch.column("_key").to_pylist(), binary_list(batch.column("text")), strict=True):
+                text = raw.decode()
+                yield from rows((key, a, text[a:b]) for a, b in cuts(len(text), CHUNK, OVERLAP))
+
+    def rows(found: Iterator[tuple[int, int, str]]) -> Iterator[pa.RecordBatch]:
+        while part := list(islice(found, 64)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["_key", "_at", "text"])
+
+    stretch = "_key long, _at int, text string"
 
     def split():
         find = regex.compile(pattern)
         return lambda texts: {"_ends": [ends_of(find, t.decode()) for t in texts]}
 
-    ends = add_columns(chunks, split, "_ends array<int>", drop=("text",)).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_at", "_ends"))).alias("_parts"))
-    whole = docs.join(ends, "_key").select("doc_id", "text", "_parts")
+    ends = add_columns(one.mapInArrow(cut, stretch).repartition(n, "_key", "_at"), split, "_ends array<int>", drop=("text",))
+    ends = ends.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_at", "_ends"))).alias("_parts"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern)
+        for batch in batches:
+            for key, raw, parts in zip(batch.column("_key").to_pylist(), binary_list(batch.column("text")), batch.column("_parts").to_pylist(), strict=True):
+                text = raw.decode()
+                at = stitch(find, text, [(p["_at"], [p["_at"] + x for x in p["_ends"]]) for p in parts])
+                # stretches of whole pre-tokens, with their ends: split anew, white space at a stretch's end could fall otherwise
+                last = [k for k in range(len(at)) if k + 1 == len(at) or at[k] // LONG != at[k + 1] // LONG]
+                for j, k in zip([0, *(k + 1 for k in last)], last, strict=False):
+                    a = at[j - 1] if j else 0
+                    cells = ([key], [a], [text[a : at[k]]], [[x - a for x in at[j : k + 1]]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32())), strict=True)], names=["_key", "_at", "text", "_ends"])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for batch in batches:
-            got = []
-            for raw, parts in zip(binary_list(batch.column("text")), batch.column("_parts").to_pylist(), strict=True):
+            for key, at, raw, found in zip(batch.column("_key").to_pylist(), batch.column("_at").to_pylist(), binary_list(batch.column("text")), batch.column("_ends").to_pylist(), strict=True):
                 text = raw.decode()
-                at = stitch(c.pattern, text, [(p["_at"], [p["_at"] + x for x in p["_ends"]]) for p in parts])
-                got.append(digest(c, c.ids([text[a:b] for a, b in zip([0, *at], at, strict=False)])))
-            cols = list(zip(*got, strict=True)) if got else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = c.ids([text[a:b] for a, b in zip([0, *found], found, strict=False)])
+                cells = ([key], [at], [len(ids)], [",".join(map(str, ids)).encode()], [c.decode(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["_key", "_at", "_n", "_ids", "_bytes"])
+
+    pieces = one.join(ends, "_key").select("_key", "text", "_parts").mapInArrow(stitched, f"{stretch}, _ends array<int>").repartition(n, "_key", "_at")
+    coded = pieces.mapInArrow(encoded, "_key long, _at int, _n long, _ids binary, _bytes binary")
+    laid = coded.repartition(n, "_key").sortWithinPartitions("_key", "_at")
 
-    return whole.mapInArrow(run, f"doc_id long, {DIGESTS}")
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n_ids, ids, raw = None, 0, hashlib.sha256(), hashlib.sha256()
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([ids.hexdigest()]), pa.array([raw.hexdigest()])], names=["_key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        for batch in batches:
+            for k, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("_key", "_n", "_ids", "_bytes")), strict=True):
+                if k != key:
+                    if key is not None:
+                        yield row()
+                    key, n_ids, ids, raw = k, 0, hashlib.sha256(), hashlib.sha256()
+                if m:
+                    ids.update(b"," * (n_ids > 0) + x)
+                    n_ids += m
+                raw.update(y)
+        if key is not None:
+            yield row()
+
+    found = laid.mapInArrow(digested, f"_key long, {DIGESTS}")
+    return docs.select("_key", "doc_id").join(found, "_key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
