@@ -64,6 +64,28 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _buckets(flat, a, b, flat.docs(a))
 
 
+def gradient(w: np.ndarray, positive: list, unlabelled: list, prior: float) -> np.ndarray:
+    """Of the non-negative risk; where the negative part is under zero, of its opposite alone, so that it rises again."""
+
+    def parts(docs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f, d = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(x) for x in docs])
+        return f, d, np.bincount(d, weights=w[f], minlength=len(docs)) + w[BIAS]
+
+    def summed(f: np.ndarray, d: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
+        g = np.bincount(f, weights=by_doc[d], minlength=BUCKETS)
+        g[BIAS] = by_doc.sum()
+        return g
+
+    pf, pd, pz = parts(positive)
+    uf, ud, uz = parts(unlabelled)
+    # the logistic loss of +1 is log(1 + exp(-z)), of -1 log(1 + exp(z))
+    negative = np.logaddexp(0, uz).mean() - prior * np.logaddexp(0, pz).mean()
+    p_neg, u_neg = prior * sigmoid(pz) / len(pz), sigmoid(uz) / len(uz)
+    if negative >= 0:
+        return summed(pf, pd, prior * (sigmoid(pz) - 1) / len(pz) - p_neg) + summed(uf, ud, u_neg)
+    return summed(pf, pd, p_neg) - summed(uf, ud, u_neg)
+
+
 def train(rows: list) -> np.ndarray:
     """Minibatches of P and U together; Adagrad steps; the averaged weights of the last third."""
     w, g2 = np.zeros(BUCKETS), np.full(BUCKETS, SQUARES)
@@ -81,30 +103,13 @@ def train(rows: list) -> np.ndarray:
     per = max(1, -(-len(positive) // steps))
     total, taken = np.zeros(BUCKETS), 0
 
-    def parts(docs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        f, d = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(x) for x in docs])
-        return f, d, np.bincount(d, weights=w[f], minlength=len(docs)) + w[BIAS]
-
-    def gradient(f: np.ndarray, d: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
-        g = np.bincount(f, weights=by_doc[d], minlength=BUCKETS)
-        g[BIAS] = by_doc.sum()
-        return g
-
     for epoch in range(EPOCHS):
         r = np.random.default_rng(epoch)
         p_order, u_order = r.permutation(len(positive)), r.permutation(len(unlabelled))
         for k in range(steps):
             ps = [positive[i] for i in p_order[np.arange(k * per, (k + 1) * per) % len(positive)]]
             us = [unlabelled[i] for i in u_order[k * BATCH : (k + 1) * BATCH]]
-            pf, pd, pz = parts(ps)
-            uf, ud, uz = parts(us)
-            # the logistic loss of +1 is log(1 + exp(-z)), of -1 log(1 + exp(z))
-            negative = np.logaddexp(0, uz).mean() - prior * np.logaddexp(0, pz).mean()
-            p_neg, u_neg = prior * sigmoid(pz) / len(pz), sigmoid(uz) / len(uz)
-            if negative >= 0:
-                g = gradient(pf, pd, prior * (sigmoid(pz) - 1) / len(pz) - p_neg) + gradient(uf, ud, u_neg)
-            else:
-                g = gradient(pf, pd, p_neg) - gradient(uf, ud, u_neg)
+            g = gradient(w, ps, us, prior)
             g[rare] = 0
             g2 += g * g
             step = RATE / np.sqrt(g2)
