@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from chronoframe.llm.storage import partitions
 
 SHARD_ROWS, BLOCK, LEAF = 4096, 512, 128
-#: Tuned on the test tables: recall against brute force is measured in the tests and given in the README.
-FACTOR = 0.2
+#: Recall against brute force is measured in the tests and given in the README.
+FACTOR = 0.4
 
 
 class Tree:

@@ -64,3 +64,24 @@ def test_each_length_among_its_own_kind(spark, rows, monkeypatch):
     got = vptree.nearest(spark.createDataFrame(rows + short, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, k=6, factor=1.0).collect()
     near = {i: sorted((-float(np.einsum("i,i->", q, x)), j) for j, x in short if j != i)[:6] for i, q in short if i % 5 == 0}
     assert {(x.query_id, x.rank, x.vec_id) for x in got} == brute(rows, 6) | {(i, n + 1, j) for i, found in near.items() for n, (_, j) in enumerate(found)}
+
+
+def test_recall_through_the_operator_at_the_default_factor(spark):
+    """The production factor and shards of the usual size, against brute force over all rows."""
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(40, 32))
+    x = centres[r.integers(0, 40, 9000)] + 0.5 * r.normal(size=(9000, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in vptree.nearest(table, F.col("vec_id") % 50 == 0, k=20).collect():
+        got.setdefault(row.query_id, []).append((row.rank, row.vec_id, row.score))
+    asked = np.arange(0, 9000, 50)
+    dots = x[asked] @ x.T
+    dots[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-dots, axis=1)[:, :20]
+    assert sorted(got) == asked.tolist() and all(len(v) == 20 for v in got.values())
+    recall = np.mean([len({i for _, i, _ in got[q]} & set(w.tolist())) / 20 for q, w in zip(asked.tolist(), want, strict=True)])
+    assert recall >= 0.9
+    for q, row in zip(asked.tolist(), dots, strict=True):
+        ranked = sorted(got[q])
+        assert [s for _, _, s in ranked] == sorted((s for _, _, s in ranked), reverse=True) and all(abs(row[i] - s) < 1e-9 for _, i, s in ranked)
