@@ -54,7 +54,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
+    return token_files.read(spark, token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,34 +1,36 @@
 """Token-id files: fixed-size blocks of ids, transposed into bit or byte planes, each plane compressed with zstandard.
 
-A shard is one self-contained byte string::
+A shard is one self-contained file::
 
     magic "CFTP"  version u8  plane kind u8 ('b' bits, 'B' bytes)  u16 0
     blocks        the compressed planes of block 0, block 1, ...; a plane of zeros has length 0
     index         per block: ids u32, planes u8, then the length of each plane u32
-    documents     per document: ids u32
-    footer        index offset u64, documents offset u64, blocks u32, documents u32, ids u64, magic "CFTP"
+    documents     per document: doc_id i64, ids u32, 1 if it has a doc_id u8 (three columns)
+    footer        index offset u64, documents offset u64, blocks u32, documents u32, ids u64, ids of its range before it u64, magic "CFTP"
 
-All integers are little-endian.  Any block can be read by itself through the index.  Shards are kept as
-rows of a Parquet table (shard bytes, and where they belong), so any store that Spark reaches will do;
-``export`` writes plain files to a folder that this machine sees.
+All integers are little-endian.  Any block can be read by itself through the index.  ``write`` gives each shard a file of
+its own, ``<range>-<number>.cftp`` in a folder that the executors share, through the file system of the folder's URI
+(``pyarrow.fs``); a file gets its name when it is complete, and a task that is run again writes the same.  Names ascend as
+doc_ids do.  ``read`` needs the files alone.
 """
 
 from __future__ import annotations
 
-import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm.kernel import binary_list, slices
-from chronoframe.llm.storage import partitions, written
+from chronoframe.llm.storage import new_path, partitions
 from chronoframe.llm.textmap import add_columns
 from chronoframe.llm.unit_codes import ByteCodes, encoder
 
@@ -36,6 +38,8 @@ MAGIC = b"CFTP"
 BLOCK_IDS = 1 << 16
 #: Ids after which a shard is closed; a longer document has a shard to itself.
 SHARD_IDS = 1 << 20
+FOOTER = "<QQIIQQ"
+TAIL = struct.calcsize(FOOTER) + len(MAGIC)
 LEVEL = 3
 END_ID = 2
 
@@ -62,8 +66,8 @@ def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
     return out.view("<u4").reshape(n)
 
 
-def pack_shard(lengths: list[int], ids: np.ndarray, bits: bool = False, block: int = BLOCK_IDS) -> bytes:
-    """A shard of documents with these many ids each."""
+def pack_shard(lengths: list[int], ids: np.ndarray, bits: bool = False, block: int = BLOCK_IDS, names: list[int | None] | None = None, before: int = 0) -> bytes:
+    """A shard of documents with these many ids each; ``names`` are their doc_ids, ``before`` the ids of the range before it."""
     z = zstandard.ZstdCompressor(level=LEVEL)
     body, index, at, blocks = [MAGIC + struct.pack("<BBH", 1, ord("b" if bits else "B"), 0)], [], 8, 0
     for k in range(0, len(ids), block):
@@ -74,8 +78,9 @@ def pack_shard(lengths: list[int], ids: np.ndarray, bits: bool = False, block: i
         at += sum(map(len, planes))
         blocks += 1
     tail = b"".join(index)
-    documents = np.array(lengths, "<u4").tobytes()
-    return b"".join([*body, tail, documents, struct.pack("<QQIIQ", at, at + len(tail), blocks, len(lengths), len(ids)), MAGIC])
+    names = names if names is not None else [None] * len(lengths)
+    documents = np.array([x or 0 for x in names], "<i8").tobytes() + np.array(lengths, "<u4").tobytes() + np.array([x is not None for x in names], "<u1").tobytes()
+    return b"".join([*body, tail, documents, struct.pack(FOOTER, at, at + len(tail), blocks, len(lengths), len(ids), before), MAGIC])
 
 
 class Shard:
@@ -85,8 +90,10 @@ class Shard:
         if raw[:4] != MAGIC or raw[-4:] != MAGIC or raw[4] != 1:
             raise ValueError("not a shard of token ids")
         self.raw, self.bits = raw, raw[5] == ord("b")
-        at, documents, blocks, n, self.n_ids = struct.unpack("<QQIIQ", raw[-36:-4])
-        self.lengths = np.frombuffer(raw, "<u4", n, documents).astype(np.int64)
+        at, documents, blocks, n, self.n_ids, self.before = struct.unpack(FOOTER, raw[-TAIL:-4])
+        named = np.frombuffer(raw, "<u1", n, documents + 12 * n)
+        self.names = [i if ok else None for i, ok in zip(np.frombuffer(raw, "<i8", n, documents).tolist(), named.tolist(), strict=True)]
+        self.lengths = np.frombuffer(raw, "<u4", n, documents + 8 * n).astype(np.int64)
         self.blocks, begin = [], 8
         for _ in range(blocks):
             ids, planes = struct.unpack_from("<IB", raw, at)
@@ -131,48 +138,76 @@ def encode(docs: DataFrame, path: str, end_id: int | None = END_ID, narrow: bool
     return add_columns(docs.select("doc_id", "text"), make, "wide boolean, ids binary", drop=("text",))
 
 
-SHARDS = "part int, seq int, first_in_part long, n_ids long, doc_ids array<long>, shard binary"
+def stored(uri: str, raw: bytes) -> None:
+    """Writes a whole file; it has its name only when it is complete."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    folder, name = path.rsplit("/", 1)
+    fs.create_dir(folder)
+    tmp = f"{folder}/_{name}.{uuid.uuid4().hex}"  # Spark's readers leave names out that begin so
+    with fs.open_output_stream(tmp) as f:
+        f.write(raw)
+    fs.move(tmp, path)
 
 
-def write(docs: DataFrame, codes: str, path: str | None = None, bits: bool = False, n: int | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """Encodes the documents, writes their ids as shards in ascending doc_id order, and returns the shards' table.
+def write(docs: DataFrame, codes: str, path: str | None = None, bits: bool = False, n: int | None = None, end_id: int | None = END_ID) -> str:
+    """Encodes the documents, writes their ids as shard files in ascending doc_id order, and returns the files' folder.
 
     The texts are dealt into ranges of doc_id and sorted within before they are encoded, so the bounds of
     the ranges are found from the ids alone.  Null ids come first, and rows of equal ids stand in the
     order of their texts.  A task holds one shard at a time.
     """
-    n = n or partitions(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    spark = docs.sparkSession
+    path, n = path or new_path(spark, "token-files"), n or partitions(spark)
+    base = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt = encode(ordered, codes, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, first, ids, lengths, names, total = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
 
-        def close() -> pa.RecordBatch:
-            raw = pack_shard(lengths, np.concatenate(ids), bits)
-            cells = [[part], [seq], [first], [total], [names], [raw]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=["part", "seq", "first_in_part", "n_ids", "doc_ids", "shard"])
+        def close() -> None:
+            stored(f"{base}/{part:08d}-{seq:08d}.cftp", pack_shard(lengths, np.concatenate(ids), bits, names=names, before=first))
 
         for batch in batches:
             for name, wide, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "wide", "ids")), strict=True):
                 x = np.frombuffer(raw, "<u4" if wide else "<u2")
                 if lengths and total + len(x) > SHARD_IDS:
-                    yield close()
+                    close()
                     seq, first, ids, lengths, names, total = seq + 1, first + total, [], [], [], 0
                 ids.append(x)
                 lengths.append(len(x))
                 names.append(name)
                 total += len(x)
         if lengths:
-            yield close()
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([seq + 1], pa.int64())], names=["files"])
 
-    return written(dealt.mapInArrow(run, SHARDS), "token-shards", path)
+    dealt.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+    return path
 
 
-def part_starts(shards: DataFrame) -> dict[int, int]:
-    """Ids before each part: a row for each range goes to the driver."""
-    rows = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(part, seq, content) of the files of a folder."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.cftp").load(path) if _any(spark, path) else spark.createDataFrame([], "path string, content binary")
+    name = r"(\d+)-(\d+)\.cftp$"
+    return found.select(F.regexp_extract("path", name, 1).cast("int").alias("part"), F.regexp_extract("path", name, 2).cast("int").alias("seq"), "content")
+
+
+def _any(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def part_starts(found: DataFrame) -> dict[int, int]:
+    """Ids before each range, from the footers: a row for each range goes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [struct.unpack(FOOTER, x.as_py()[:-4])[4] for x in batch.column("tail")]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(n, pa.int64())], names=["part", "n"])
+
+    tails = found.select("part", F.expr(f"substring(content, {-TAIL}, {TAIL})").alias("tail"))
+    rows = tails.mapInArrow(run, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()
     out, at = {}, 0
     for part, n in sorted(rows):
         out[part] = at
@@ -180,34 +215,19 @@ def part_starts(shards: DataFrame) -> dict[int, int]:
     return out
 
 
-def read(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards' bytes."""
-    starts = part_starts(shards)
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+    found = files(spark, path)
+    starts = part_starts(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, first, names, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "first_in_part", "doc_ids", "shard")), strict=True):
-                shard = Shard(raw)
+            for part, raw in zip(batch.column("part").to_pylist(), batch.column("content"), strict=True):
+                shard = Shard(raw.as_py())
                 ids, n = shard.ids().astype("<u4"), shard.lengths
                 stop = np.cumsum(n)
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * (b - a) : 4 * b]) for a, b in zip(n.tolist(), stop.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(stop - n + (first + starts[part])), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(shard.names, pa.int64()), pa.array(stop - n + (shard.before + starts[part])), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-def export(shards: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard as a plain file of a folder that all executors see, named by its place; returns the names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = []
-            for part, seq, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "shard")), strict=True):
-                names.append(f"{part:06d}-{seq:06d}.cftp")
-                with open(os.path.join(folder, names[-1] + ".tmp"), "wb") as f:
-                    f.write(raw)
-                os.replace(os.path.join(folder, names[-1] + ".tmp"), os.path.join(folder, names[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(names)], names=["file"])
-
-    return shards.mapInArrow(run, "file string")
+    return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
