@@ -28,6 +28,8 @@ SMOOTHING = 0.5
 #: Mean log ratio (natural log) under which a document is rejected.
 THRESHOLD = -0.10
 MIN_WORDS = 50
+#: Trusted ids that are broadcast (some 16 MB); with more of them the texts are shuffled to them.
+BROADCAST_IDS = 500_000
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -52,8 +54,10 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     n-gram occurs; the driver gets BUCKETS rows.
     """
     small_batches(docs.sparkSession)
-    ids = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_t")).distinct()
-    marked = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_t"), "left")
+    ids = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_t")).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = F.broadcast(ids) if few else ids.hint("shuffle_hash")
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_t"), "left")
     marked = marked.select("text", F.col("_t").isNotNull().alias("_t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
