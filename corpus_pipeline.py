@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm import line_dedup, minmax_dedup, packing, quality_ftrl, quality_rules
 from chronoframe.llm.queries import tokenizer_path
-from chronoframe.llm.storage import documents, written
+from chronoframe.llm.storage import documents, settled
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents`` of the folder."""
+    """Applies the stages to ``documents`` of the folder; a stage's working tables go when its result is written."""
     out = documents(spark, sf_dir)
     for name, stage in STAGES:
-        out = written(stage(spark, out, sf_dir), "stage-" + name.replace(" ", "-"))
+        out = settled(spark, "stage-" + name.replace(" ", "-"), lambda stage=stage, docs=out: stage(spark, docs, sf_dir))
     return out
