@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import public_tokenizers as P
 import pytest
 
 from chronoframe.llm import bpe, line_dedup, packing, quality_ftrl, quality_rules, token_files, toxicity
+from chronoframe.llm.kernel import Flat, combine
 from chronoframe.llm.unit_codes import ByteCodes, WordCodes
 
 
@@ -37,6 +39,14 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_line_dedup_beside_columns_of_its_own_names(docs, rows):
+    want = brute.line_dedup([r[:2] for r in rows])
+    clash = docs.selectExpr("*", "'k' AS _key", "'d' AS _doc", "7 AS _DROP", "1 AS _key_", "2 AS batch", "3 AS sure", "4 AS h2", "5 AS n_dropped")
+    out = line_dedup.dedup(clash)
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(i, v[2]) for i, v in want.items()}
+    assert {(r._key, r._doc, r._DROP) for r in out.collect()} == {("k", "d", 7)} and out.columns == [*clash.columns[:-1], "n_lines", "n_dropped"]
+
+
 def test_line_dedup_without_ids_and_repeated_ids(spark):
     rows = [(None, "a shared line of text"), (None, "a shared line of text\nonly here among nulls"), (5, "a shared line of text"), (5, "a shared line of text\nx")]
     got = sorted((r.doc_id or -1, r.text) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -94,6 +104,23 @@ def test_encode_decode(docs, rows, monkeypatch):
         assert got == {i: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for (i, t, *_), x in zip(rows, want.values())}
 
 
+def test_a_truly_long_text_repeated_rows_and_null_ids(spark, monkeypatch):
+    """Longer than LONG many times over, with white space and pre-tokens across every kind of border."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    whole = bpe.codec(path, P.PATTERN).pieces.encode
+    monkeypatch.setattr(bpe, "LONG", 1 << 10)
+    monkeypatch.setattr(bpe, "CHUNK", 1 << 9)
+    monkeypatch.setattr(bpe, "OVERLAP", 64)
+    r = np.random.default_rng(8)
+    parts = ["\t\n", " ", "\n\n  ", "word", "don't", "漢字かな", "12345", "%%%", "é", "\r\n", "x" * 700, " " * 700]
+    text = "".join(parts[i] for i in r.integers(0, len(parts), 4000))
+    rows = [(1, text), (1, text), (None, text), (2, text[::-1]), (3, "short"), (None, None)]
+    some = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _key", "2 AS _at", "3 AS ids", "4 AS n_tokens")
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(some, path, P.PATTERN).collect())
+    want = Counter((i, len(whole(t or "")), hashlib.sha256(",".join(map(str, whole(t or ""))).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert got == want and len(text) > 100 * bpe.LONG
+
+
 def test_stitching_any_chunks():
     import regex
 
@@ -114,15 +141,17 @@ def test_units_give_the_librarys_ids(kind, name, rows):
 
 
 @pytest.mark.parametrize("bits", [True, False])
-def test_shards(docs, rows, empty, bits, tmp_path, monkeypatch):
+def test_shards(spark, docs, rows, empty, bits, tmp_path, monkeypatch):
     ids = np.array([0, 1, 65535, 70000, 2**32 - 1] * 50, np.uint32)
-    shard = token_files.Shard(token_files.pack_shard([100, 0, 150], ids, bits, block=64))
+    shard = token_files.Shard(token_files.pack_shard([100, 0, 150], ids, bits, block=64, names=[-5, None, 2**62], before=7))
     assert shard.lengths.tolist() == [100, 0, 150] and (shard.ids() == ids).all() and (shard.block(1) == ids[64:128]).all()
+    assert shard.names == [-5, None, 2**62] and shard.before == 7
     with pytest.raises(ValueError):
         token_files.Shard(b"nothing of the kind, but long enough to be read as one shard")
     monkeypatch.setattr(token_files, "SHARD_IDS", 500)
     path = P.path("byte_bpe_50k.json")
-    shards = token_files.write(docs, path, bits=bits, n=3)
+    clash = docs.selectExpr("*", "1 AS ids", "2 AS wide", "'x' AS part", "3 AS content")
+    folder = token_files.write(clash, path, f"file://{tmp_path}/files", bits=bits, n=3)
     tokenizer = ByteCodes(path)
     at = 0
     want = []
@@ -130,9 +159,20 @@ def test_shards(docs, rows, empty, bits, tmp_path, monkeypatch):
         x = np.append(tokenizer.direct([(t or "").encode()])[0], np.uint32(2)).astype("<u4")
         want.append((i, at, len(x), zlib.crc32(x.tobytes())))
         at += len(x)
-    assert sorted(map(tuple, token_files.read(shards).collect())) == want
-    assert shards.count() == token_files.export(shards, str(tmp_path)).count() == len(list(tmp_path.iterdir()))
-    assert token_files.read(token_files.write(empty, path)).count() == 0
+    assert sorted(map(tuple, token_files.read(spark, folder).collect())) == want
+    # the files alone hold everything, in the order of their names
+    names = sorted(tmp_path.glob("files/*"))
+    shards = [token_files.Shard(f.read_bytes()) for f in names]
+    assert len(shards) > 3 and all(re.fullmatch(r"\d{8}-\d{8}\.cftp", f.name) for f in names)
+    assert [i for x in shards for i in x.names] == [w[0] for w in want] and [n for x in shards for n in x.lengths] == [w[2] for w in want]
+    assert token_files.read(spark, token_files.write(empty, path)).count() == 0
+
+
+def test_shards_of_repeated_rows_and_null_ids(spark):
+    path = P.path("byte_bpe_50k.json")
+    some = spark.createDataFrame([(None, "b"), (None, "a"), (3, "x"), (3, "x"), (2, None)], "doc_id long, text string")
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.start, r.n_tokens) for r in token_files.read(spark, token_files.write(some, path, n=2)).collect())
+    assert got == [(-1, 0, 2), (-1, 2, 2), (2, 4, 1), (3, 5, 2), (3, 7, 2)]
 
 
 def test_packing(docs, rows, empty):
@@ -214,6 +254,106 @@ def test_classifiers_learn_and_take_anything(spark, docs, rows, empty, model, la
     assert {r.predicted for r in model.score(docs, none).collect()} <= {0, 1}
 
 
+def test_weights_of_a_plain_ftrl():
+    """One weight at a time, in dictionaries."""
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 30, int(r.integers(0, 12)))) for _ in range(60)]
+    f, d = quality_ftrl.features([t.encode() for t in texts])
+    rows = [(k, int(k % 3 == 0), f[d == k]) for k in range(60)]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= quality_ftrl.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality_ftrl.L1, z[i])) / ((quality_ftrl.BETA + math.sqrt(n[i])) / quality_ftrl.ALPHA + quality_ftrl.L2)
+
+    for epoch in range(quality_ftrl.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(60):
+            _, y, found = rows[k]
+            times = Counter(found.tolist())
+            length = math.sqrt(max(1, len(found)))
+            x = {i: math.sqrt(c) / length for i, c in times.items()} | {quality_ftrl.BIAS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality_ftrl.ALPHA * w[i]
+                n[i] += g * g
+    got = quality_ftrl.train(rows)
+    want = np.zeros(quality_ftrl.BUCKETS)
+    for i in z:
+        want[i] = weight(i)
+    assert np.abs(got - want).max() < 1e-9 and np.count_nonzero(want) > 20
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.9])
+def test_gradient_of_the_non_negative_risk(prior, monkeypatch):
+    """Against differences of the risk; with the larger prior its negative part is under zero, and the step goes up."""
+    monkeypatch.setattr(toxicity, "BUCKETS", 12)
+    r = np.random.default_rng(4)
+    p = [np.unique(r.integers(1, 6, 4)) for _ in range(8)]
+    others = [np.unique(r.integers(5, 12, 4)) for _ in range(12)]
+    u = p + others
+    w = r.normal(size=12)
+    if prior > 0.5:  # a model that is sure of both kinds
+        w[1:5] += 4
+        w[5:] -= 3
+
+    def loss(v, some, y):
+        z = np.array([v[x].sum() + v[0] for x in some])
+        return np.log1p(np.exp(-y * z)).mean()
+
+    def negative(v):
+        return loss(v, u, -1) - prior * loss(v, p, -1)
+
+    risk = (lambda v: prior * loss(v, p, 1) + negative(v)) if negative(w) >= 0 else (lambda v: -negative(v))
+    numeric = np.array([(risk(w + 1e-6 * e) - risk(w - 1e-6 * e)) / 2e-6 for e in np.eye(12)])
+    assert np.abs(toxicity.gradient(w, p, u, prior) - numeric).max() < 1e-6
+    assert (negative(w) < 0) == (prior > 0.5)
+
+
+def test_ratios_of_plain_counts(docs, rows):
+    """Every n-gram counted in a dictionary of buckets."""
+    one = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+")
+    top = 64 - quality_rules.BUCKETS.bit_length() + 1
+
+    def grams(text):
+        found = one.findall((text or "").encode().lower())
+        flat = Flat(found)
+        h = flat.hashes(flat.bounds[:-1], flat.bounds[1:] - 1, seed=3)
+        with np.errstate(over="ignore"):
+            pairs = combine(h[:-1], h[1:])
+        return [int(x) >> top for x in (*h.tolist(), *pairs.tolist())]
+
+    raw, target = Counter(), Counter()
+    for i, t, *_ in rows:
+        raw.update(grams(t))
+        if i % 2 == 0:
+            target.update(grams(t))
+    a, b = (sum(x.values()) + quality_rules.SMOOTHING * quality_rules.BUCKETS for x in (target, raw))
+    ratio = lambda k: math.log((target[k] + quality_rules.SMOOTHING) / a) - math.log((raw[k] + quality_rules.SMOOTHING) / b)
+    got = quality_rules.fit(docs, docs.where("doc_id % 2 = 0").select("doc_id"))
+    assert max(abs(got[k] - ratio(k)) for k in [*raw, 5, 6]) < 1e-9
+    want = {i: (sum(map(ratio, g)) / len(g) if g else 0.0) for i, g in ((i, grams(t)) for i, t, *_ in rows)}
+    out = {r.doc_id: r for r in quality_rules.judge(docs, got).collect()}
+    assert all(abs(out[i].llr - x) < 1e-9 and (out[i].base_failed or out[i].kept == (x >= quality_rules.THRESHOLD)) for i, x in want.items())
+
+
+def test_rules_and_classifiers_on_repeated_rows_null_ids_and_clashes(spark):
+    good, bad = "calm and plain words in a row", "rubbish%%% scum*** !!"
+    rows = [(k, good if k % 2 else bad) for k in range(60)] + [(None, good), (None, None), (7, good), (7, good), (7, bad)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS score", "9 AS predicted", "8 AS held_out", "7 AS kept", "6 AS base_failed", "5 AS _id", "4 AS _y", "3 AS _t", "2 AS f", "1 AS bucket")
+    labels = spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(60)], "doc_id long, quality int, toxic int").selectExpr("*", "'x' AS text", "1 AS f", "2 AS _y")
+    for model in (quality_ftrl, toxicity):
+        got = model.score(table, model.fit(table, labels)).select("doc_id", "held_out", "score", "predicted").collect()
+        assert len(got) == len(rows) and Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+        ties = {r.score for r in got if r.doc_id is not None and r.doc_id % 2 and r.doc_id != 7}
+        assert len(ties) == 1 and all(isinstance(r.held_out, bool) and r.predicted in (0, 1) for r in got)  # equal texts, equal scores
+    ratios = quality_rules.fit(table, quality_rules.trusted_ids(labels))
+    got = quality_rules.judge(table, ratios).collect()
+    assert len(got) == len(rows) and all(r.base_failed and not r.kept for r in got) and {r._t for r in got} == {3}
+
+
 def test_toxic_words_in_a_long_text_count():
     """A few toxic words at any place of a long text score as high as in a window of their own."""
     r = np.random.default_rng(5)
