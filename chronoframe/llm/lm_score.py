@@ -99,12 +99,14 @@ def index_kind(n: int) -> str:
 
 
 def counts(x: np.ndarray) -> np.ndarray:
-    """Whole numbers, 64 bits each, as planes: those that aren't in use cost next to nothing."""
-    return planes(x.astype("<u8"))
+    """Whole numbers as planes of the bytes that they need, after how many those are."""
+    top = int(x.max()) if len(x) else 0
+    width = next(k for k in (1, 2, 4, 8) if top >> 8 * k == 0)
+    return np.concatenate([np.array([width], np.uint8), planes(x.astype(f"<u{width}"))])
 
 
 def of_counts(x: np.ndarray) -> np.ndarray:
-    return of_planes(x, "<u8").astype(np.int64)
+    return of_planes(x[1:], f"<u{x[0]}").astype(np.int64)
 
 
 @lru_cache(1)
