@@ -12,6 +12,8 @@ are 0 and every score is 0.5.  Repeated rows and ties get equal scores.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,11 +53,9 @@ def vector(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, x / np.sqrt(max(1, c.sum()))
 
 
-def train(rows: list) -> np.ndarray:
-    """FTRL-proximal (McMahan et al., 2013) over the rows, in an order fixed by a seed."""
+def train(rows: Sequence) -> np.ndarray:
+    """FTRL-proximal (McMahan et al., 2013) over the rows, in an order fixed by a seed; one row's vector is held at a time."""
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    vectors = [vector(f) for _, _, f in rows]
-    ys = np.array([y for _, y, _ in rows], float)
 
     def weights(i: np.ndarray) -> np.ndarray:
         w = -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
@@ -63,10 +63,11 @@ def train(rows: list) -> np.ndarray:
 
     for epoch in range(EPOCHS):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
-            i, x = vectors[k]
+            _, y, f = rows[k]
+            i, x = vector(f)
             i, x = np.append(i, BIAS), np.append(x, 1.0)
             w = weights(i)
-            g = (float(sigmoid(np.array(w @ x))) - ys[k]) * x
+            g = (float(sigmoid(np.array(w @ x))) - y) * x
             s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
             z[i] += g - s * w
             n[i] += g * g

@@ -16,6 +16,8 @@ bias, which makes every score low.  Repeated rows and ties get equal scores.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,10 +88,11 @@ def gradient(w: np.ndarray, positive: list, unlabelled: list, prior: float) -> n
     return summed(pf, pd, p_neg) - summed(uf, ud, u_neg)
 
 
-def train(rows: list) -> np.ndarray:
+def train(rows: Sequence) -> np.ndarray:
     """Minibatches of P and U together; Adagrad steps; the averaged weights of the last third."""
     w, g2 = np.zeros(BUCKETS), np.full(BUCKETS, SQUARES)
     w[BIAS] = -2.0
+    rows = list(rows)
     positive = [f for _, y, f in rows if y == 1]
     unlabelled = [f for _, _, f in rows]
     if not positive:
