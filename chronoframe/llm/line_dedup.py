@@ -11,7 +11,8 @@ task first reduces its lines to one row for a key and batch, so a line that a th
 share is a row for each task, not for each document.
 
 Null texts count as empty (one empty line).  Rows that share a doc_id count as one document, rows
-without doc_id as one document that comes last.  An empty table gives an empty result.
+without doc_id as one document that comes last.  What is dropped is noted by document and text, so a
+row is sent its own lines, not those of all rows of its document.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,7 +118,10 @@ class Runs:
 
 
 def digests(docs: DataFrame, bounds: list[int]) -> DataFrame:
-    """(batch, sure, h1, h2, doc): a task's smallest document of each key and batch, and, marked sure, its other documents that hold it."""
+    """(batch, sure, h1, h2, doc, t): a task's smallest document of each key and batch, and, marked sure, its other documents that hold it.
+
+    A document has a row for each of its texts that hold the key; t tells them apart.
+    """
     edges = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,33 +129,33 @@ def digests(docs: DataFrame, bounds: list[int]) -> DataFrame:
         rows = 0
 
         def reduced() -> list[np.ndarray]:
-            k, h1, h2, doc, sure = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, h2, h1, k))
-            k, h1, h2, doc, sure = (x[order] for x in (k, h1, h2, doc, sure))
+            k, h1, h2, doc, t, sure = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((t, doc, h2, h1, k))
+            k, h1, h2, doc, t, sure = (x[order] for x in (k, h1, h2, doc, t, sure))
             same = np.zeros(len(k), bool)
             same[1:] = (k[1:] == k[:-1]) & (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
             again = same.copy()
-            again[1:] &= doc[1:] == doc[:-1]  # the same line again in the same document
+            again[1:] &= (doc[1:] == doc[:-1]) & (t[1:] == t[:-1])  # the same line again in the same text
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k)))) if len(k) else np.zeros(0, int)
             sure = sure | (doc != doc[head])
-            return [x[~again] for x in (k, h1, h2, doc, sure)]
+            return [x[~again] for x in (k, h1, h2, doc, t, sure)]
 
         def out(cols: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
-            k, h1, h2, doc, sure = (x[keep] for x in cols)
-            return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(sure), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc)], names=["batch", "sure", "h1", "h2", "doc"])
+            k, h1, h2, doc, t, sure = (x[keep] for x in cols)
+            return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(sure), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(t)], names=["batch", "sure", "h1", "h2", "doc", "t"])
 
         for batch in batches:
             texts = binary_list(batch.column("text"))
-            ids = np.array(batch.column("doc").to_pylist(), np.int64)
+            ids, marks = (np.array(batch.column(c).to_pylist(), n) for c, n in (("doc", np.int64), ("t", np.int32)))
             for a, b in slices(texts):
                 _, d, counts, h1, h2 = lines_of(texts[a:b])
-                doc = ids[a:b][d[counts]]
-                held.append((np.searchsorted(edges, doc), h1[counts], h2[counts], doc, np.zeros(len(doc), bool)))
+                doc, t = ids[a:b][d[counts]], marks[a:b][d[counts]]
+                held.append((np.searchsorted(edges, doc), h1[counts], h2[counts], doc, t, np.zeros(len(doc), bool)))
                 rows += len(doc)
             if rows > 1_000_000:  # sure rows go out, one row for a key stays
                 cols = reduced()
-                yield out(cols, cols[4])
-                keep = ~cols[4]
+                yield out(cols, cols[5])
+                keep = ~cols[5]
                 held = [tuple(x[keep] for x in cols)]
                 rows = int(keep.sum())
                 if rows > 500_000:
@@ -161,16 +165,21 @@ def digests(docs: DataFrame, bounds: list[int]) -> DataFrame:
             cols = reduced()
             yield out(cols, np.ones(len(cols[0]), bool))
 
-    fields = "batch int, sure boolean, h1 long, h2 long, doc long"
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text").mapInArrow(run, fields)
+    fields = "batch int, sure boolean, h1 long, h2 long, doc long, t int"
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text_mark().alias("t"), "text").mapInArrow(run, fields)
+
+
+def text_mark():
+    """Tells the texts of one document apart; two with one mark share their notes, which are the same for a line in any case."""
+    return F.hash("text")
 
 
 def drops_of_batch(rows: DataFrame, runs: Runs) -> DataFrame:
-    """(doc, h1) of the batch's lines that are dropped, beside the sure ones; adds the batch's keys to the runs."""
-    lines = rows.where("NOT sure").select(*KEY, "doc")
+    """(doc, t, h1) of the batch's lines that are dropped, beside the sure ones; adds the batch's keys to the runs."""
+    lines = rows.where("NOT sure").select(*KEY, "doc", "t")
     name = runs.add(runs.unseen(lines.groupBy(*KEY).agg(F.min("doc").alias("doc"))))
     new = runs.spark.table(name).withColumnRenamed("doc", "_first")
-    dropped = lines.join(new, KEY, "left").where(F.col("_first").isNull() | (F.col("_first") < F.col("doc"))).select("doc", "h1")
+    dropped = lines.join(new, KEY, "left").where(F.col("_first").isNull() | (F.col("_first") < F.col("doc"))).select("doc", "t", "h1")
     return written(dropped, "line-drops")
 
 
@@ -186,23 +195,23 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     bounds = sorted(set(cuts or ()))
     seen = written(digests(docs, bounds), "lines")
     runs = Runs(spark)
-    drops = seen.where("sure").select("doc", "h1")
+    drops = seen.where("sure").select("doc", "t", "h1")
     for k in range(len(bounds) + 1):
         drops = drops.unionByName(drops_of_batch(seen.where(F.col("batch") == k), runs))
         runs.compact()
     runs.close()
-    by_doc = drops.groupBy("doc").agg(F.collect_set("h1").alias("_drop")).withColumnRenamed("doc", "_doc")
-    return without(docs, by_doc)
+    by_text = drops.groupBy(F.col("doc").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_set("h1").alias("_drop"))
+    return without(docs, by_text)
 
 
-def without(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
-    """Takes the lines whose keys are in (_doc, _drop) out of the texts."""
+def without(docs: DataFrame, by_text: DataFrame) -> DataFrame:
+    """Takes the lines whose keys are in (_doc, _t, _drop) out of the texts."""
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    key, doc, drop = (fresh(x, names) for x in ("_key", "_doc", "_drop"))
-    by_doc = by_doc.select(F.col("_doc").alias(doc), F.col("_drop").alias(drop))
-    joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    joined = joined.join(by_doc.hint("shuffle_hash"), F.col(key) == F.col(doc), "left").select(*names, drop)
+    key, mark, doc, t, drop = (fresh(x, names) for x in ("_key", "_mark", "_doc", "_t", "_drop"))
+    by_text = by_text.select(F.col("_doc").alias(doc), F.col("_t").alias(t), F.col("_drop").alias(drop))
+    joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(mark, text_mark())
+    joined = joined.join(by_text.hint("shuffle_hash"), (F.col(key) == F.col(doc)) & (F.col(mark) == F.col(t)), "left").select(*names, drop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +234,8 @@ def without(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
                     stay = ~hit[first[i] : first[i] + n[i]]
                     texts_out[i] = b"\n".join([x for x, s in zip(part[i].split(b"\n"), stay, strict=True) if s])
                 cut = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(texts_out, pa.binary()).cast(pa.string()) if c == "text" else cut.column(c) for c in names] + [pa.array(n), pa.array(lost)], names=[*names, "n_lines", "n_dropped"])
+                # not safe: Spark's strings may hold bytes that aren't UTF-8, which stay as they are
+                yield pa.RecordBatch.from_arrays([pa.array(texts_out, pa.binary()).cast(pa.string(), safe=False) if c == "text" else cut.column(c) for c in names] + [pa.array(n), pa.array(lost)], names=[*names, "n_lines", "n_dropped"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(run, schema)

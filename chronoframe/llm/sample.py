@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
 from chronoframe.llm.kernel import binary_list, slices
@@ -76,7 +77,8 @@ class Rows:
 def fitted(docs: DataFrame, ids: DataFrame, features: Callable, train: Callable, size: int) -> np.ndarray:
     """Weights from ``train(rows)``, run in one task on the features of the sample's documents.
 
-    ``ids`` is bounded by its limit, so it's broadcast and the texts aren't shuffled.  rows: see Rows.
+    ``ids`` is bounded by its limit, so it's broadcast and the texts aren't shuffled.  doc_id keeps the
+    type that it has in the table.  rows: see Rows.
     """
     small_batches(docs.sparkSession)
     some = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text")
@@ -94,7 +96,8 @@ def fitted(docs: DataFrame, ids: DataFrame, features: Callable, train: Callable,
         w = train(rows) if rows else np.zeros(size)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary())], names=["w"])
 
-    got = some.mapInArrow(encode, "doc_id long, y int, f binary").repartition(1).mapInArrow(learn, "w binary").collect()
+    schema = T.StructType([T.StructField("doc_id", some.schema.fields[0].dataType), T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType())])
+    got = some.mapInArrow(encode, schema).repartition(1).mapInArrow(learn, "w binary").collect()
     return np.frombuffer(got[0]["w"], "<f8") if got else np.zeros(size)
 
 

@@ -61,3 +61,17 @@ def test_long_texts_are_not_held_and_rows_come_in_order(spark):
         spark.conf.set(key, before)
     assert right and also
     assert many - few < 80  # the buckets of all rows take 180 MB
+
+
+def test_ids_of_other_types(spark):
+    rows = [(k, f"good words number {k % 5} here" if k % 2 else f"bad %% text {k % 5} there", k % 2) for k in range(-20, 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+
+    def fit(kind):
+        some = table.selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text", "quality")
+        return quality_ftrl.fit(some.select("doc_id", "text"), some.select("doc_id", "quality"), 1000)
+
+    want = fit("long")
+    assert want.any()
+    assert np.array_equal(fit("int"), want) and np.array_equal(fit("decimal(20,0)"), want)
+    assert fit("string").any()

@@ -53,6 +53,24 @@ def test_line_dedup_without_ids_and_repeated_ids(spark):
     assert got == [(-1, ""), (-1, "only here among nulls"), (5, "a shared line of text"), (5, "a shared line of text\nx")]
 
 
+def test_line_dedup_sends_a_row_its_own_lines_only(spark, monkeypatch):
+    lines = [f"shared line number {k}" for k in range(20)]
+    rows = [(1, "\n".join(lines)), *((None, f"{x}\nonly here {k}") for k, x in enumerate(lines)), *((7, f"{x}\nnot there {k}") for k, x in enumerate(lines))]
+    seen, without = [], line_dedup.without
+    monkeypatch.setattr(line_dedup, "without", lambda docs, drops: seen.append(drops) or without(docs, drops))
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, "\n".join(lines), 0), *((None, f"only here {k}", 1) for k in range(20)), *((7, f"not there {k}", 1) for k in range(20))]
+    assert sorted((r.doc_id or 0, r.text, r.n_dropped) for r in got) == sorted((i or 0, *x) for i, *x in want)
+    assert max(len(r._drop) for r in seen[0].collect()) == 1  # 20 if noted by document
+
+
+def test_line_dedup_keeps_bytes_that_are_not_utf8(spark):
+    rows = [(1, b"a line that stays \xff\xfe"), (2, b"a line that stays \xff\xfe\nb\xff"), (3, b"nothing to drop \x80")]
+    docs = spark.createDataFrame(rows, "doc_id long, text binary").selectExpr("doc_id", "CAST(text AS string) AS text")
+    got = {r.doc_id: bytes(r.text) for r in line_dedup.dedup(docs).selectExpr("doc_id", "CAST(text AS binary) AS text").collect()}
+    assert got == {1: rows[0][1], 2: b"b\xff", 3: rows[2][1]}
+
+
 def test_compaction_keeps_all_keys(spark):
     runs = line_dedup.Runs(spark, buckets=3, fanout=2)
     for k in range(5):
